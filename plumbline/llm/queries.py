@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
 from plumbline.llm.token_counts import token_counts
 
 
@@ -12,9 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tokenizer = _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return round_trip(docs, tokenizer, compile_lexicon(spark, docs, tokenizer))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op9_token_counts,)}
+QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
+from plumbline.llm.scratch import Scratch
 from plumbline.llm.token_counts import token_counts
 
 
@@ -18,9 +21,26 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, tokenizer, compile_lexicon(spark, docs, tokenizer))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their markup's evidence, and documents with their source as host; both by models of the labelled ones."""
+    docs, pages = _table(spark, sf_dir, "documents"), language_id.markup(_table(spark, sf_dir, "pages"))
+    model = language_id.fit(docs)
+    of_pages = language_id.identify(pages, model, host="host", declared="declared", suffix="suffix")
+    of_docs = language_id.identify(docs.select("doc_id", "text", "source"), model, host="source")
+    found = ("lang_id", "lang_posterior", "lang_accepted")
+    return of_docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), *found).unionByName(of_pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *found))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op7")
+    where = scratch.path("archive")
+    warc.write_archive(_table(spark, sf_dir, "pages"), where, scratch=scratch)
+    return warc.read_archive(spark, where)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op6_language_id, op7_warc, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

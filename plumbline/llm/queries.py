@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
+from plumbline.llm.minhash_join import near_duplicates
 from plumbline.llm.scratch import Scratch
 from plumbline.llm.token_counts import token_counts
 
@@ -16,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokenizer = _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     return round_trip(docs, tokenizer, compile_lexicon(spark, docs, tokenizer))
@@ -42,5 +47,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_transducer, op6_language_id, op7_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op6_language_id, op7_warc, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
 from plumbline.llm.minhash_join import near_duplicates
+from plumbline.llm.repeat_spans import without_repeats
 from plumbline.llm.scratch import Scratch
 from plumbline.llm.token_counts import token_counts
 
@@ -26,6 +27,10 @@ def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, tokenizer, compile_lexicon(spark, docs, tokenizer))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their markup's evidence, and documents with their source as host; both by models of the labelled ones."""
     docs, pages = _table(spark, sf_dir, "documents"), language_id.markup(_table(spark, sf_dir, "pages"))
@@ -47,5 +52,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op6_language_id, op7_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op6_language_id, op7_warc, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
+from plumbline.llm.line_dedup import line_report
 from plumbline.llm.minhash_join import near_duplicates
 from plumbline.llm.repeat_spans import without_repeats
 from plumbline.llm.scratch import Scratch
@@ -52,5 +53,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op6_language_id, op7_warc, op9_token_counts)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

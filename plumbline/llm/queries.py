@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
+from plumbline.llm.decontaminate import leaks
 from plumbline.llm.line_dedup import line_report
 from plumbline.llm.minhash_join import near_duplicates
 from plumbline.llm.repeat_spans import without_repeats
@@ -32,6 +33,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their markup's evidence, and documents with their source as host; both by models of the labelled ones."""
     docs, pages = _table(spark, sf_dir, "documents"), language_id.markup(_table(spark, sf_dir, "pages"))
@@ -57,5 +62,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op5_decontaminate, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}

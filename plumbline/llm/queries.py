@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import language_id, warc
 from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
 from plumbline.llm.decontaminate import leaks
+from plumbline.llm.hamming_search import sign_code, top_k
 from plumbline.llm.line_dedup import line_report
 from plumbline.llm.minhash_join import near_duplicates
 from plumbline.llm.repeat_spans import without_repeats
@@ -20,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return top_k(rows, rows.where("id % 20 = 0"), k=10)
+
+
 def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -62,5 +68,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op5_decontaminate, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op5_decontaminate, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_hamming_topk": """
+        WITH signs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+        pairs AS (
+            SELECT q.id AS query_id, r.id AS id, CAST(len(list_filter(list_zip(q.s, r.s), lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+            FROM signs q JOIN signs r ON q.id <> r.id WHERE q.id % 20 = 0
+        ),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)
+        SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 10
+    """,
+}

@@ -11,6 +11,7 @@ from plumbline.llm.bpe_transducer import compile_lexicon, round_trip
 from plumbline.llm.decontaminate import leaks
 from plumbline.llm.hamming_search import sign_code, top_k
 from plumbline.llm.line_dedup import line_report
+from plumbline.llm.lm_scoring import score_documents
 from plumbline.llm.minhash_join import near_duplicates
 from plumbline.llm.repeat_spans import without_repeats
 from plumbline.llm.scratch import Scratch
@@ -60,6 +61,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, where)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -68,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op5_decontaminate, op6_language_id, op7_warc, op9_token_counts, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_minhash_join, op3_bpe_transducer, op4_suffix_dedup, op5_decontaminate, op6_language_id, op7_warc, op8_lm_scoring, op9_token_counts, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op1_hamming_topk": """
         WITH signs AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),

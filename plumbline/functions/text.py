@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Full-width characters and what they become.
 FULLWIDTH = "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ％．"
@@ -36,7 +37,7 @@ _CJK = r"\x{4e00}-\x{9fff}"
 _SCALED = r"(?i)(\d+(?:\.\d+)?)\s*(million|billion)\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose(text: pd.Series) -> pd.Series:
     """Canonical composition (NFC)."""
     return text.str.normalize("NFC")

@@ -61,25 +61,25 @@ class TextModel:
         out = np.zeros((len(texts), len(self.languages) + 1))
         letters = np.zeros(len(texts), dtype=np.int64)
         for a, b in groups_by_bytes(texts):
-            buf, own = folded(texts[a:b])
-            if len(buf) < 3:
-                continue
-            own = own[:-2]
-            letters[a:b] = np.bincount(own, weights=buf[1:-1] != 32, minlength=b - a)
-            bins = trigram_bins(buf)
+            bins, own, lettered = trigrams(texts[a:b])
+            letters[a:b] = np.bincount(own, weights=lettered, minlength=b - a)
             for k in range(out.shape[1]):
                 out[a:b, k] = np.bincount(own, weights=self.table[bins, k], minlength=b - a)
         return out, letters
 
 
-def folded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with a blank around each, runs of blanks as one; and the text each byte belongs to."""
-    joined = np.frombuffer(b" " + b"  ".join(texts) + b" ", dtype=np.uint8)
-    own = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and text of each trigram, and whether its middle is no blank. A text has a blank around it, one for each run."""
+    joined = np.frombuffer(b" " + b" \xff ".join(texts) + b" \xff", dtype=np.uint8)  # 0xFF is in no UTF-8 text
+    own = np.repeat(np.arange(len(texts)), [len(t) + 3 for t in texts])
     buf = _FOLD[joined]
     keep = np.ones(len(buf), dtype=bool)
     keep[1:] = (buf[1:] != 32) | (buf[:-1] != 32)
-    return buf[keep], own[keep]
+    buf, own = buf[keep], own[keep]
+    if len(buf) < 3:
+        return np.zeros(0, dtype=np.uint32), own[:0], np.zeros(0, dtype=bool)
+    whole = (buf[:-2] != 255) & (buf[1:-1] != 255) & (buf[2:] != 255)
+    return trigram_bins(buf)[whole], own[:-2][whole], (buf[1:-1] != 32)[whole]
 
 
 def trigram_bins(buf: np.ndarray) -> np.ndarray:
@@ -96,9 +96,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     languages = tuple(sorted({r._l for r in sample}))
     counts = np.full((BINS, len(languages) + 1), 0.1, dtype=np.float64)
     for k, name in enumerate(languages):
-        buf, _ = folded([r._t.encode() for r in sample if r._l == name])
-        if len(buf) >= 3:
-            counts[:, k] += np.bincount(trigram_bins(buf), minlength=BINS)
+        counts[:, k] += np.bincount(trigrams([r._t.encode() for r in sample if r._l == name])[0], minlength=BINS)
     counts[:, -1] = 1.0
     return TextModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 

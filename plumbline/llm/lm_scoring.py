@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
     rows = keyed(docs, id_col, text_col, fold, held)
-    n_train = rows.where("not held_out").count()
+    n_train, n_bytes = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     own = pieces_of(vocabulary)
     smallest = rows.where("not held_out").select("key").orderBy("key").limit(SAMPLE_TEXTS)
     sample = rows.where("not held_out").select("key", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(smallest.distinct()), "key", "left_semi").orderBy("key").limit(SAMPLE_TEXTS).collect()
@@ -233,7 +233,7 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     words, n = np.unique(hashes, return_counts=True)
     frequent = words[n >= 3]
 
-    n_buckets = max(BUCKETS, int(-(-_size(docs) // BUCKET_BYTES)))
+    n_buckets = max(BUCKETS, int(-(-n_bytes // BUCKET_BYTES)))
     parts = scratch.table(unigram_parts(counted(rows, frequent, n_buckets)), "parts")
     stats = parts.where("key is null and total is not null").select("total", "common", "counts").collect()  # a row a bucket, with the frequent list's counts
     total = sum((np.frombuffer(r.total, dtype=np.int64) for r in stats), np.zeros(2, dtype=np.int64))
@@ -252,7 +252,3 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     rare_part, rare_known = F.coalesce(F.col("rare_part") / F.col("copies"), F.lit(0.0)), F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))
     base = F.col("part") + rare_part + F.lit(float(np.log10(n_train + 1.0))) - F.col("n_tokens") * F.lit(smoothed)
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + rare_known + F.lit(int(n_train > 0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
-
-
-def _size(docs: DataFrame) -> float:
-    return float(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

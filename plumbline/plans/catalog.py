@@ -443,6 +443,51 @@ def q41_controlled_pipeline(spark, sf_dir):
     return facts.run_pipeline(rows).select("doc_id", "tier1_final_passed", F.size("atomic_facts").alias("n_facts"), F.size("findings").alias("n_findings"), F.md5("answer").alias("answer_md5"))
 
 
+@query(
+    """SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg_ttft, max(value) AS max_ttft, round(sum(user_id) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 6) AS tokens_per_s FROM events GROUP BY event_type"""
+)
+def q42_throughput(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_type", (latency.micros("ts") / 1e6).alias("start"), (latency.micros("ts") / 1e6).alias("end"), F.col("value").alias("ttft"), F.col("user_id").alias("tokens"))
+    return latency.throughput(rows, "event_type").select("event_type", "n", F.round("avg_ttft", 4).alias("avg_ttft"), "max_ttft", F.round("tokens_per_s", 6).alias("tokens_per_s"))
+
+
+@query("SELECT user_id, min_by(value, event_id) AS baseline, max(value) AS peak, round(max(value) - min_by(value, event_id), 6) AS delta FROM events GROUP BY user_id")
+def q43_memory_delta(spark, sf_dir):
+    return latency.memory_delta(_t(spark, sf_dir, "events"), "event_id", "value", "user_id").withColumn("delta", F.round("delta", 6))
+
+
+@query("WITH m AS (SELECT avg(value) FILTER (event_type = 'view') AS a, avg(value) FILTER (event_type = 'click') AS b FROM events) SELECT round(a, 6) AS first, round(b, 6) AS second, round(a / b, 6) AS speed_up, round((1 - b / a) * 100, 4) AS drop_percent FROM m")
+def q44_compare_groups(spark, sf_dir):
+    got = latency.compare(_t(spark, sf_dir, "events"), "event_type", "view", "click", "value")
+    return got.select(F.round("first", 6).alias("first"), F.round("second", 6).alias("second"), F.round("speed_up", 6).alias("speed_up"), F.round("drop_percent", 4).alias("drop_percent"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def q45_streaming_windows(spark, sf_dir):
+    """Tumbling windows of a stream in event time (an extension); all windows, as the stream is read to its end."""
+    rows = counters.drain(counters.windowed(counters.stream(spark, sf_dir, "events"), late="3650 days"), "update")
+    return rows.groupBy(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 3).alias("total"))
+
+
+@query(
+    f"""WITH {_GRADED}, r AS (SELECT lang, source, {_RECALL} AS recall FROM graded)
+    SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, round(avg(recall), 4) AS avg_recall FROM r GROUP BY ROLLUP (lang, source)"""
+)
+def q46_recall_rollup(spark, sf_dir):
+    rows = _graded(spark, sf_dir).select("lang", "source", scorers.recall_score(F.col("gold"), F.col("text")).alias("recall"))
+    return rows.rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("avg_recall")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n", "avg_recall")
+
+
+@query()
+def q47_source_scope(spark, sf_dir):
+    """BM25 hits scoped to the source of the best hit."""
+    docs = _t(spark, sf_dir, "documents")
+    hits = _bm25_hits(spark, sf_dir, 3).join(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("content"), F.col("source").alias("scope_id")), "doc")
+    hits = hits.select("query_id", "rank", "content", F.col("doc").cast("string").alias("doc_id"), F.col("doc").cast("string").alias("chunk_id"), "scope_id")
+    asked = hits.where("rank = 1").select("query_id", F.lit("").alias("query"), F.array("scope_id").alias("sources"))
+    return retrieval.select_context(hits, asked).select("query_id", "error_code", F.md5("context").alias("context_md5"), "selected_sources", "discarded_sources")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, completeness and pass rate by source."""
     return q05_summary_by_source(spark, sf_dir)

@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry_point  # noqa: E402
 from plumbline.functions import text as T  # noqa: E402
-from plumbline.operators import audit, bm25, chunkers, coerce, facts, gateway, latency, logprobs, retrieval, rules, runner, scorers  # noqa: E402
+from plumbline.operators import audit, bm25, chunkers, coerce, facts, gateway, latency, logprobs, dialects, report, retrieval, rules, runner, scorers  # noqa: E402
 from plumbline.plans import catalog  # noqa: E402
 from plumbline.sources import samples, schemas  # noqa: E402
 
@@ -314,6 +314,30 @@ def test_query_against_sql(spark, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+def test_report_and_gate(spark):
+    rows = samples.builtin_samples(spark)
+    results = runner.evaluate(runner.with_responses(rows, samples.preset_responses(spark)))
+    shown = report.text_report(runner.summarize(results), results)
+    assert "passed 1  failed 4" in shown and "WARNING" in shown and "med-ins-005" in shown.rsplit("WARNING", 1)[1]
+    lines = report.table(["a", "医保"], [["x", "y"]]).split("\n")
+    assert len({T.display_width(x) for x in lines}) == 1
+    assert [report.exit_code(x) for x in (True, False, None)] == [0, 1, 2]
+    assert report.markdown("t", spark.range(1)).startswith("# t")
+
+
+def test_second_dialect(spark):
+    docs = spark.createDataFrame([("d", " aaaa \n\nbbbb\n\n" + "c" * 9)], "doc_id string, text string")
+    assert _texts(dialects.recursive_chunks(docs, 8, 2)) == ["aaaa\n\nbbbb", "bb" + "c" * 9]
+    with pytest.raises(ValueError):
+        dialects.recursive_chunks(docs, 8, 8)
+    assert [f.code for f in one(spark, dialects.matrix().verify(_fact("numeric", "0.5亿"), F.lit("共5000万")))] == []
+    assert [f.code for f in one(spark, dialects.matrix().verify(_fact("entity_rel", "B药", "A药"), F.lit("A药。")))] == ["RELATION_OBJECT_NOT_FOUND"]
+    assert one(spark, dialects.fact_type(F.col("t")), t="odd") == "numeric" and dialects.display_width("医a") == 3
+    got = one(spark, dialects.extract(F.col("t")), t="患者禁止使用该药 仅限200元")
+    assert {(f.fact_type, f.predicate) for f in got} >= {("numeric", "数值"), ("entity_rel", "禁止"), ("condition", "仅限")}
+    assert not one(spark, dialects.faithfulness(F.col("c"), F.col("a")), c="46.7 billion", a="467亿").passed
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bytescan import as_bytes, groups_by_bytes, mix, shingle_sets, word_hashes
 from plumbline.llm.components import components
 from plumbline.llm.groups import grouped, sorted_groups
+from plumbline.llm.idset import maybe_in
 from plumbline.llm.scratch import Scratch
 
 K, T = 32, 13
@@ -265,7 +266,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     groups = components(candidates, scratch)
     dealt = in_blocks(groups.select("component", F.col("node").alias("rep")), "component", "rep", GROUP_BLOCK)
     whole = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    links = scratch.table(confirmed_links(dealt.join(whole, "rep"), size, percent), "links")
+    whole = maybe_in(whole, "rep", groups.select("node"))
+    links = scratch.table(confirmed_links(dealt.hint("merge").join(whole, "rep"), size, percent), "links")
     found = components(links, scratch)
     by_doc = members.join(found.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("doc_id", "fp", F.coalesce("component", "rep").alias("component_id"))
     out = known.select("doc_id", "n_shingles", "fp").join(by_doc, ["doc_id", "fp"], "left")

@@ -33,6 +33,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.groups import lean
+
 MEMO = 400_000
 #: Words longer than this many bytes are merged by the heap.
 MATRIX_MAX = 64
@@ -389,7 +391,7 @@ def frequent_words(docs: DataFrame, text_col: str, most: int) -> DataFrame:
             kept = [(" " + w, n) for w, n in counts.items() if n > 1 and w and len(w) <= 32 and w.isalpha()]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "word string, n long")
+    counted = docs.select(text_col).mapInArrow(lean(run), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -416,7 +418,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon: str | None = None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -429,7 +431,7 @@ def decode_documents(coded: DataFrame, tokenizer: str, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return coded.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 1 << 20) -> DataFrame:
@@ -456,4 +458,4 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None, id_c
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

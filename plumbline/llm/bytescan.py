@@ -36,6 +36,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (in place where it can)."""
     h = h ^ (h >> U64(32))

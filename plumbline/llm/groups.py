@@ -41,3 +41,27 @@ def grouped(batches, n_key: int):
         held.append(batch.slice(cut))
     if held:
         yield ready(pa.Table.from_batches(held))
+
+
+def lean(run):
+    """``run`` (batches to batches), giving freed memory back to the system when a partition ends.
+
+    Workers are reused: what their allocators keep would count against the executor while the JVM works.
+    """
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        from plumbline.llm import bytescan
+
+        yield from run(batches)
+        bytescan.forget_powers()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from plumbline.llm.bytescan import as_bytes, groups_by_bytes
+from plumbline.llm.groups import lean
 
 BINS = 1 << 16
 PER_LANGUAGE = 400
@@ -116,7 +117,7 @@ def likelihoods(df: DataFrame, model: TextModel, text: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(scores) + 1, n), pa.int32()), pa.array(scores.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(letters, pa.int64())], names=[*batch.schema.names, "lang_ll", "lang_letters"])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields, StructField("lang_ll", ArrayType(DoubleType())), StructField("lang_letters", LongType())]))
+    return base.mapInArrow(lean(run), StructType([*base.schema.fields, StructField("lang_ll", ArrayType(DoubleType())), StructField("lang_letters", LongType())]))
 
 
 def _domain(host: str) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import attention_lm as lm
 from plumbline.llm.bytescan import as_bytes, groups_by_bytes, word_hashes
+from plumbline.llm.groups import lean
 from plumbline.llm.scratch import Scratch
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 8_000
@@ -103,7 +104,7 @@ def counted(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "words", "meta", "keys", "common", "sums"])
 
-    return rows.select("key", "held_out", "text").mapInArrow(run, "bucket int, words binary, meta binary, keys binary, common binary, sums binary")
+    return rows.select("key", "held_out", "text").mapInArrow(lean(run), "bucket int, words binary, meta binary, keys binary, common binary, sums binary")
 
 
 def unigram_parts(packed: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def corpus_classes(rows: DataFrame, vocabulary: str, sample: np.ndarray) -> tupl
 
     form = "block int, single binary, pairs binary"
     single, pairs = np.zeros(size, dtype=np.int64), np.zeros((size, lm.CLASSES), dtype=np.float32)
-    for r in rows.select("key", "held_out", "text").mapInArrow(count, form).groupBy("block").applyInArrow(add, form).collect():
+    for r in rows.select("key", "held_out", "text").mapInArrow(lean(count), form).groupBy("block").applyInArrow(add, form).collect():
         part = slice(r.block * block, (r.block + 1) * block)
         single[part] = np.frombuffer(zlib.decompress(r.single), dtype=np.int64)
         pairs[part] = np.frombuffer(zlib.decompress(r.pairs), dtype=np.float32).reshape(-1, lm.CLASSES)
@@ -217,7 +218,7 @@ def scored(rows: DataFrame, vocabulary: str, model: tuple, frequent: np.ndarray,
                 ident = batch.column(0).slice(at.start, at.stop - at.start)
                 yield pa.RecordBatch.from_arrays([ident, *map(pa.array, (key, held, n_words.astype(np.int64) + 1, known, part, value))], names=["doc_id", "key", "held_out", "n_tokens", "known", "part", "score"])
 
-    return rows.select("doc_id", "key", "held_out", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_tokens long, known long, part double, score double")
+    return rows.select("doc_id", "key", "held_out", "text").mapInArrow(lean(run), "doc_id long, key long, held_out boolean, n_tokens long, known long, part double, score double")
 
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, steps: int = lm.STEPS, scratch: Scratch | None = None) -> DataFrame:

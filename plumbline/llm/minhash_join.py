@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bytescan import as_bytes, groups_by_bytes, mix, shingle_sets, word_hashes
 from plumbline.llm.components import components
-from plumbline.llm.groups import grouped, sorted_groups
+from plumbline.llm.groups import grouped, lean, sorted_groups
 from plumbline.llm.idset import maybe_in
 from plumbline.llm.scratch import Scratch
 
@@ -88,7 +88,7 @@ def features(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                         sigs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_all, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_shingles long, fp binary, sig binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(lean(run), "doc_id long, n_shingles long, fp binary, sig binary")
 
 
 def frequency_sketch(classes: DataFrame) -> np.ndarray:
@@ -107,7 +107,7 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(SKETCH, dtype=np.int64)
-    for r in classes.select("sig").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for r in classes.select("sig").mapInArrow(lean(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.counts, dtype=np.int64)
     return out
 
@@ -126,7 +126,7 @@ def postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
             best = np.argpartition(order, PREFIX - 1, axis=1)[:, :PREFIX]
             yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, best, axis=1).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), PREFIX))], names=["key", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(lean(run), "key long, rep long")
 
 
 def in_blocks(rows: DataFrame, key: str, member: str, block: int) -> DataFrame:
@@ -202,7 +202,7 @@ def forest_edges(listed: DataFrame) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return sorted_groups(listed.select("key", "part_a", "part_b", "part", "rep", "sig"), ["key", "part_a", "part_b"]).mapInArrow(run, "u long, v long")
+    return sorted_groups(listed.select("key", "part_a", "part_b", "part", "rep", "sig"), ["key", "part_a", "part_b"]).mapInArrow(lean(run), "u long, v long")
 
 
 def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,7 +239,7 @@ def confirmed_links(groups: DataFrame, size: int, percent: int) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return sorted_groups(groups.select("component", "part_a", "part_b", "part", "rep", "text"), ["component", "part_a", "part_b"]).mapInArrow(run, "u long, v long")
+    return sorted_groups(groups.select("component", "part_a", "part_b", "part", "rep", "text"), ["component", "part_a", "part_b"]).mapInArrow(lean(run), "u long, v long")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

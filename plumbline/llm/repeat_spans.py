@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytescan import BYTE_VALUE, as_bytes, groups_by_bytes, mix, powers
-from plumbline.llm.groups import grouped, sorted_groups
+from plumbline.llm.groups import grouped, lean, sorted_groups
 from plumbline.llm.scratch import Scratch
 from plumbline.llm.suffix_sort import equal_neighbours, suffix_order
 
@@ -121,7 +121,7 @@ def segment_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
             key = np.where(again, mix(doc[row].view(np.uint64) + (at.astype(np.uint64) << np.uint64(32))), key)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), fp.view(np.int64), doc[row], copy[row].astype(np.int32), at.astype(np.int32), n.astype(np.int32), again)], names=["key", "fp", "doc", "copy", "at", "n", "again"])
 
-    return rows.select("doc", "copy", "text").mapInArrow(run, "key long, fp long, doc long, copy int, at int, n int, again boolean")
+    return rows.select("doc", "copy", "text").mapInArrow(lean(run), "key long, fp long, doc long, copy int, at int, n int, again boolean")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def pieces(rows: DataFrame, edges: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[own]), pa.array(copy[own].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(cut, pa.binary())], names=["key", "doc", "copy", "at", "piece"])
 
     joined = rows.join(listed, ["doc", "copy"]).select("doc", "copy", "text", "parts")
-    return joined.mapInArrow(run, "key long, doc long, copy int, at int, piece binary")
+    return joined.mapInArrow(lean(run), "key long, doc long, copy int, at int, piece binary")
 
 
 def repeated_strings(cut: DataFrame, length: int) -> DataFrame:
@@ -182,7 +182,7 @@ def repeated_strings(cut: DataFrame, length: int) -> DataFrame:
             p = own[a]
             yield pa.RecordBatch.from_arrays([pa.array(doc[p]), pa.array(copy[p]), pa.array((at[p] + pos[a] - starts[p]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], names=["doc", "copy", "at", "n"])
 
-    return sorted_groups(cut.select("key", "doc", "copy", "at", "piece"), ["key"]).mapInArrow(run, "doc long, copy int, at int, n int")
+    return sorted_groups(cut.select("key", "doc", "copy", "at", "piece"), ["key"]).mapInArrow(lean(run), "doc long, copy int, at int, n int")
 
 
 def removed_spans(size: int, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,4 +228,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
             yield pa.RecordBatch.from_arrays(arrays if with_text else arrays[:5], names=names if with_text else names[:5])
 
     joined = rows.join(listed, ["doc", "copy"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))

@@ -18,6 +18,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from plumbline.llm.groups import lean
+
 MEMO = 500_000
 BATCH_BYTES = 1 << 18
 LONGEST_REMEMBERED = 64
@@ -95,4 +97,4 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -412,6 +412,12 @@ def test_line_dedup(spark):
     assert line_report(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_unnamed_rows(spark):
+    df = docs_of(spark, ["same line here"] * 5, [None, 3, 3, 4, 5])
+    kept = sorted((str(x.doc_id), x.text) for x in without_duplicate_lines(df).collect())
+    assert kept == [("3", "same line here")] * 2 + [("4", "same line here"), ("None", "same line here")]
+
+
 def test_pipeline_stages_keep_their_columns(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf_dir = "/root/testdata/sf0.001"

@@ -412,6 +412,36 @@ def test_line_dedup(spark):
     assert line_report(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def plain_removed(texts):
+    """Lines that go by the plain definition: Jaccard 0.8 of the sets of all 5-character shingles."""
+    places = [(d, k, line) for d, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if line.strip()]
+    first = {}
+    for d, k, line in places:
+        first.setdefault(line, (d, k))
+    lines = sorted(first, key=first.get)
+    sets = [{s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = dict(zip(lines, roots(len(lines), links), strict=True))
+    return {(d, k) for d, k, line in places if first[lines[root[line]]] != (d, k)}
+
+
+def test_line_dedup_holds_all_character_shingles(spark):
+    r = random.Random(3)
+    base = ["the two parts of the line differ in de and nothing else at all as far as the eye of a reader can see now"]
+    base += [" ".join("".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (3, 4, 5, 7, 9, 12, 20, 50) for _ in range(4)]
+    pool = [*base, base[0].replace(" de ", " su ")]
+    for k, line in enumerate(base):
+        w = line.split(" ")
+        for edits in (1, 1 + len(w) // 16):
+            v = list(w)
+            for _ in range(edits):
+                v[r.randrange(len(v))] = r.choice(["su", "x", f"q{k}"])
+            pool += [" ".join(v), " ".join(v[: len(v) // 2] + ["de"] + v[len(v) // 2 :])]
+    pool += ["Hello world foo1", "Hello world foo2", "abc", "abd", "aaaaaa", "aaaaaaa", "abcdefgh", "abcdefghi", "long " * 300, "long " * 299 + "longer"]
+    got = {(x.doc_id, k) for x in line_report(docs_of(spark, pool)).collect() for k in x.removed}
+    assert got == plain_removed(pool) and len(got) > 20
+
+
 def test_line_dedup_leaves_unnamed_rows(spark):
     df = docs_of(spark, ["same line here"] * 5, [None, 3, 3, 4, 5])
     kept = sorted((str(x.doc_id), x.text) for x in without_duplicate_lines(df).collect())

@@ -442,6 +442,15 @@ def test_line_dedup_holds_all_character_shingles(spark):
     assert got == plain_removed(pool) and len(got) > 20
 
 
+def test_line_dedup_keeps_lines_alike_in_their_first_characters(spark):
+    pool = ["https://www.example.org/articles/about-bees", "https://www.example.org/pictures/of-mountains", "https://www.example.org/4f1d9a07c2b8e63510"]
+    pool += ["2024-01-01 10:00\tlogin\tuser alpha\tok", "2024-01-01 10:00\tshutdown\tdisk seven is full", "/usr/share/lib/aa/first.bin", "/usr/share/lib/zz/other.conf"]
+    pool += ["中華人民共和國中央人民政府今天宣布新的教育政策", "中華人民共和國中央人民政府否認有關糧食價格的消息", "Unabhängigkeitserklärung", "Unabhängigkeitsbewegungen", "No. 1", "No. 2"]
+    assert not plain_removed(pool)
+    assert all(x.n_removed == 0 for x in line_report(docs_of(spark, pool)).collect())
+    assert without_duplicate_lines(docs_of(spark, pool)).count() == len(pool)
+
+
 def test_line_dedup_leaves_unnamed_rows(spark):
     df = docs_of(spark, ["same line here"] * 5, [None, 3, 3, 4, 5])
     kept = sorted((str(x.doc_id), x.text) for x in without_duplicate_lines(df).collect())

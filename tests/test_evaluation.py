@@ -341,3 +341,13 @@ def test_second_dialect(spark):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_graded_takes_every_item(spark, tmp_path):
+    words = ["abcdefgh"[k % 8] * 6 + "xyz" for k in range(45)]
+    spark.createDataFrame([(2 * k, w) for k, w in enumerate(words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, words[d % 45], "en", "s") for d in range(90)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["q01_context_recall"](spark, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(d, 2 * (d % 45)) for d in range(90)]
+    assert all(x.recall == 1.0 and x.passed for x in got)
+    assert catalog.QUERIES["q05_summary_by_source"](spark, str(tmp_path)).first().total == 90

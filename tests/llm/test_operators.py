@@ -469,3 +469,11 @@ def test_pipeline_stages_keep_their_columns(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == docs.count() and "ids_sha256" in last.columns
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = " ".join(f"word{k}" for k in range(40))
+    df = docs_of(spark, [text, text, text, "another text altogether", None], [1, 2, None, None, None])
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, "").collect()
+    assert sorted((str(x.doc_id), str(x.text)) for x in kept) == sorted([("1", text), ("None", text), ("None", "another text altogether"), ("None", "None")])

@@ -23,6 +23,7 @@ from plumbline.llm.bytescan import LOWER, SPACE, word_hashes
 WINDOW, WIDTH, HIDDEN, CLASSES, PIECE_BYTES = 32, 16, 32, 128, 4
 _SHARED = 32  # of the classes
 STEPS, BATCH, RATE = 300, 192, 4e-3
+PASS_BATCH = 1024  # windows of a step of the pass over all texts
 
 
 class Pieces:
@@ -234,6 +235,22 @@ def shifted(ids: np.ndarray, n_ids: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+class Adam:
+    """Steps of Adam on the weights ``w``, in place."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.w, self.t = w, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        m, v, t = self.m, self.v, self.t
+        for k, x in g.items():
+            m[k] += (x - m[k]) * np.float32(0.1)
+            v[k] += (x * x - v[k]) * np.float32(0.01)
+            self.w[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(v[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+
+
 def train(ids: np.ndarray, n_ids: np.ndarray, classes: Classes, follow: np.ndarray, size: int, steps: int = STEPS, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights after so many steps of Adam over windows of the given texts."""
     w = first_weights(size)
@@ -242,21 +259,37 @@ def train(ids: np.ndarray, n_ids: np.ndarray, classes: Classes, follow: np.ndarr
     inputs, base = shifted(ids, n_ids, size - 1), np.cumsum(n_ids) - n_ids
     text, start, _ = windows(n_ids, overlap=0)
     r = np.random.default_rng(seed)
-    m, v2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    adam = Adam(w)
     for t in range(1, steps + 1):
         pick = r.integers(0, len(text), BATCH)
         at = start[pick][:, None] + np.arange(WINDOW)
         inside = at < n_ids[text[pick]][:, None]
         at = np.minimum(at, n_ids[text[pick]][:, None] - 1) + base[text[pick]][:, None]
         _, g = gradients(w, follow, inputs[at], classes.of[ids[at]], inside.astype(np.float32))
-        rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
-        for k, x in g.items():
-            m[k] += (x - m[k]) * np.float32(0.1)
-            v2[k] += (x * x - v2[k]) * np.float32(0.01)
-            w[k] -= np.float32(rate) * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(v2[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        adam.step(g, RATE * min(1.0, 2 * (1 - t / (steps + 1))))
     return w
 
 
+def train_on_all(adam: Adam, ids: np.ndarray, n_ids: np.ndarray, classes: Classes, follow: np.ndarray, r: np.random.Generator) -> int:
+    """Takes every window of the texts once, in a random order; returns how many there were."""
+    if not len(ids):
+        return 0
+    inputs, base = shifted(ids, n_ids, len(classes.of) - 1), np.cumsum(n_ids) - n_ids
+    text, start, _ = windows(n_ids, overlap=0)
+    some = n_ids[text] > 0
+    text, start = text[some], start[some]
+    order = r.permutation(len(text))
+    for s in range(0, len(order), PASS_BATCH):
+        own = order[s : s + PASS_BATCH]
+        at = start[own][:, None] + np.arange(WINDOW)
+        length = n_ids[text[own]][:, None]
+        inside = at < length
+        at = np.minimum(at, length - 1) + base[text[own]][:, None]
+        _, g = gradients(adam.w, follow, inputs[at], classes.of[ids[at]], inside.astype(np.float32))
+        adam.step(g, RATE / 4)
+    return len(order)
+
+
 _AT_ONCE = 32
 
 

@@ -6,12 +6,12 @@ Texts whose crc32 of the id (as text), modulo ``fold``, is ``held`` are held out
 Scan 1 counts the words (64-bit hashes) of all training texts. A batch sends its (word, text, times) triples to the word's bucket, packed as arrays; the bucket
 counts the word over the corpus and sends each text its share of the unigram score. Words of the *frequent list* (those
 of a bounded sample, ``SAMPLE_TEXTS``) send one count a batch instead, as they would swamp their bucket: their counts
-come to the driver (bounded by the list) and their share of the score is added in scan 3. The list decides how counts
+come to the driver (bounded by the list) and their share of the score is added in scan 5. The list decides how counts
 travel, never what they are.
 
-The attention weights are fitted on the driver on the sampled training texts (``SAMPLE_TEXTS`` at most); what the model
-takes from counts (share of an id in its class, classes behind an id) comes from all training texts.
-They are counted in scan 2. Scan 3 scores every text, all ids.
+Scan 2 counts the ids, which settles their classes, and scan 3 what follows which id, both of all training texts, whole.
+The attention weights start from a fit on the sample. Then, in scan 4, every task takes each window of its training
+texts once, and the tasks' weights are averaged by their windows. Scan 5 scores every text, all ids.
 
 Null texts are empty: they have one token, the end. A null id counts as the empty text for the fold. Rows may repeat.
 """
@@ -154,14 +154,69 @@ def unigram_parts(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "key long, part double, known long, total binary, common binary, counts binary")
 
 
-def corpus_classes(rows: DataFrame, vocabulary: str, sample: np.ndarray) -> tuple[lm.Classes, np.ndarray]:
+def id_counts(rows: DataFrame, vocabulary: str) -> np.ndarray:
+    """How often each id occurs in all training texts; the driver gets one number an id."""
+    size = pieces_of(vocabulary).size
+
+    def count(batches):
+        own, single = pieces_of(vocabulary), np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for _, _, held, texts in _texts(batch, 0):
+                single += np.bincount(lm.tokenized([t for t, h in zip(texts, held, strict=True) if not h], own)[2], minlength=size)
+        used = np.flatnonzero(single)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(single[used])], names=["id", "n"])
+
+    out = np.zeros(size, dtype=np.int64)
+    for r in rows.select("key", "held_out", "text").mapInArrow(lean(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r.id] = r.n
+    return out
+
+
+def learned(rows: DataFrame, vocabulary: str, start: dict[str, np.ndarray], classes: lm.Classes, follow: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
+    """Weights after a pass over all training texts, and the number of windows it took.
+
+    Each task goes on from ``start`` over every window of its texts. It hands over its weights once, in blocks; their
+    sums by windows have a fixed size, however large the corpus is.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((start, classes, follow))
+    names, block = sorted(start), 1 << 16
+
+    def run(batches):
+        own = pieces_of(vocabulary)
+        first, of, behind = shared.value
+        adam, r, n = lm.Adam({k: x.copy() for k, x in first.items()}), np.random.default_rng(13), 0
+        for batch in batches:
+            for _, _, held, texts in _texts(batch, 0):
+                _, _, ids, n_ids = lm.tokenized([t for t, h in zip(texts, held, strict=True) if not h], own)
+                n += lm.train_on_all(adam, ids, n_ids, of, behind, r)
+        if n:
+            flat = np.concatenate([adam.w[k].ravel() for k in names]).astype(np.float32)
+            out = [(b, n, flat[b * block : (b + 1) * block].tobytes()) for b in range(-(-len(flat) // block))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["block", "n", "weights"])
+
+    def add(key, table):
+        n, total = 0, 0
+        for k, x in zip(table.column("n").to_pylist(), table.column("weights").to_pylist(), strict=True):
+            n, total = n + k, total + np.frombuffer(x, dtype=np.float32).astype(np.float64) * k
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+    form = "block int, n long, weights binary"
+    got = sorted(rows.select("key", "held_out", "text").mapInArrow(lean(run), form).groupBy("block").applyInArrow(add, form).collect())
+    if not got:
+        return start, 0
+    flat = np.concatenate([np.frombuffer(r.weights, dtype=np.float32) for r in got])
+    ends = np.cumsum([start[k].size for k in names])
+    return {k: x.reshape(start[k].shape).astype(start[k].dtype) for k, x in zip(names, np.split(flat, ends[:-1]), strict=True)}, got[0].n
+
+
+def corpus_classes(rows: DataFrame, vocabulary: str) -> tuple[lm.Classes, np.ndarray]:
     """Classes and what follows which id, with the counts of all training texts.
 
-    Which ids share a class is settled on the sample; shares and pairs are counted over the corpus. A task hands over
-    its sums once, in blocks; sums of sums have a fixed size (ids x classes) however large the corpus is.
+    Which ids share a class is settled on the counts of all; shares and pairs are counted over the corpus. A task hands
+    over its sums once, in blocks; sums of sums have a fixed size (ids x classes) however large the corpus is.
     """
     size = pieces_of(vocabulary).size
-    grouping = lm.Classes.fit(np.bincount(sample, minlength=size))
+    grouping = lm.Classes.fit(id_counts(rows, vocabulary))
     shared = rows.sparkSession.sparkContext.broadcast(grouping)
     block = 256
 
@@ -243,8 +298,8 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     for r in stats:
         counts[np.searchsorted(frequent, np.frombuffer(r.common, dtype=np.uint64))] = np.frombuffer(r.counts, dtype=np.int64)
 
-    classes, follow = corpus_classes(rows, vocabulary, ids)
-    weights = lm.train(ids, n_ids, classes, follow, own.size, steps)
+    classes, follow = corpus_classes(rows, vocabulary)
+    weights, _ = learned(rows, vocabulary, lm.train(ids, n_ids, classes, follow, own.size, steps), classes, follow)
     found = scored(rows, vocabulary, (weights, classes, follow), frequent, counts)
     rare = parts.where("key is not null").groupBy("key").agg(F.sum("part").alias("rare_part"), F.sum("known").alias("rare_known"))
     copies = found.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("known").alias("known"), F.first("part").alias("part"), F.first("score").alias("score"), F.count("*").alias("copies"))

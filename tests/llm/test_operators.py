@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import attention_lm as lm
-from plumbline.llm import language_id, suffix_sort, warc
+from plumbline.llm import language_id, lm_scoring, suffix_sort, warc
 from plumbline.llm.bpe_transducer import ByteBpe, Encoder, Lexicon, build_automaton, compile_lexicon, decode_documents, encode_documents, round_trip, write_lexicon
 from plumbline.llm.components import components
 from plumbline.llm.decontaminate import leaks, without_leaks
@@ -477,3 +477,19 @@ def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     df = docs_of(spark, [text, text, text, "another text altogether", None], [1, 2, None, None, None])
     kept = corpus_pipeline.near_duplicate_stage(spark, df, "").collect()
     assert sorted((str(x.doc_id), str(x.text)) for x in kept) == sorted([("1", text), ("None", text), ("None", "another text altogether"), ("None", "None")])
+
+
+def test_lm_learns_from_every_window(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_TEXTS", 1)
+    monkeypatch.setattr(lm_scoring, "SAMPLE_CHARS", 10)
+    taken = []
+    inner = lm_scoring.learned
+    monkeypatch.setattr(lm_scoring, "learned", lambda *a: taken.append((a[2], inner(*a))) or taken[-1][1])
+    texts = [*sentences(5, 60, 200), "", None, "tail " * 4000]
+    score_documents(docs_of(spark, texts), VOCABULARY, steps=2).count()
+    pieces = lm.Pieces(VOCABULARY)
+    train = [(t or "").encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    ids, n_ids = lm.tokenized(train, pieces)[2:]
+    ((start, (weights, n)),) = taken
+    assert n == sum(-(-int(k) // lm.WINDOW) for k in n_ids)
+    assert (np.abs(weights["emb"] - start["emb"]).max(axis=1) > 0)[np.unique(lm.shifted(ids, n_ids, pieces.end))].all()

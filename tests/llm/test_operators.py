@@ -451,6 +451,18 @@ def test_line_dedup_keeps_lines_alike_in_their_first_characters(spark):
     assert without_duplicate_lines(docs_of(spark, pool)).count() == len(pool)
 
 
+def test_line_dedup_loses_no_link_near_the_threshold(spark):
+    r = random.Random(17)
+    pool = []
+    for n in (20, 40, 41, 60, 100, 200, 400):
+        for _ in range(12):
+            line = "".join(r.choice("abcdefghijklmnopqrst ") for _ in range(n)).strip() + "z"
+            at = sorted(r.sample(range(len(line)), max(1, len(line) // 46)))
+            pool += [line, "".join("#" if i in at else c for i, c in enumerate(line))]
+    got = {(x.doc_id, k) for x in line_report(docs_of(spark, pool)).collect() for k in x.removed}
+    assert got == plain_removed(pool) and len(got) > 20
+
+
 def test_line_dedup_leaves_unnamed_rows(spark):
     df = docs_of(spark, ["same line here"] * 5, [None, 3, 3, 4, 5])
     kept = sorted((str(x.doc_id), x.text) for x in without_duplicate_lines(df).collect())

@@ -389,21 +389,9 @@ def test_line_dedup(spark):
     pool = base + [near_copy(b, i) for i, b in enumerate(base)] + ["Of.", "Hello world foo1", "Hello world foo2", "", "  ", "x"]
     texts = ["\n".join(r.choice(pool) for _ in range(r.randint(1, 6))) for _ in range(40)] + [None, "", "\n\n", base[0], base[0] + "\n" + "long " * 4000]
     got = {x.doc_id: x for x in line_report(docs_of(spark, texts)).collect()}
-    first, places = {}, []
-    for d, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if line.strip():
-                places.append((d, k, line))
-                first.setdefault(line, (d, k))
-    lines = sorted(first, key=first.get)
-    cut = lambda s: [s[m.start() : m.start() + 12] for m in re.finditer("(?<![^ ])[^ ]", s) if len(s) - m.start() >= 6]
-    sets = [frozenset(cut(s) or [s]) for s in lines]
-    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    root = dict(zip(lines, roots(len(lines), links), strict=True))
     gone = collections.defaultdict(list)
-    for d, k, line in places:
-        if first[lines[root[line]]] != (d, k):
-            gone[d].append(k)
+    for d, k in sorted(plain_removed(texts)):
+        gone[d].append(k)
     assert all(got[d].removed == gone[d] for d in range(len(texts)))
     kept = {x.doc_id: x.text for x in without_duplicate_lines(docs_of(spark, texts)).collect()}
     for d, t in enumerate(texts):
@@ -463,10 +451,18 @@ def test_line_dedup_loses_no_link_near_the_threshold(spark):
     assert got == plain_removed(pool) and len(got) > 20
 
 
-def test_line_dedup_leaves_unnamed_rows(spark):
-    df = docs_of(spark, ["same line here"] * 5, [None, 3, 3, 4, 5])
-    kept = sorted((str(x.doc_id), x.text) for x in without_duplicate_lines(df).collect())
-    assert kept == [("3", "same line here")] * 2 + [("4", "same line here"), ("None", "same line here")]
+def test_line_dedup_with_repeated_and_missing_ids(spark):
+    texts = ["same line here", "same line here", "same line here\n\nand a second one", "same line here", "same line here", None, None]
+    df = docs_of(spark, texts, [None, 3, 3, 3, 4, 5, 5])
+    kept = sorted((str(x.doc_id), str(x.text)) for x in without_duplicate_lines(df).collect())
+    # which text of id 3 has the first place follows from its hash
+    whole, rest = ("3", "same line here"), ("3", "\nand a second one")
+    assert [x for x in kept if x[0] == "3"] in ([rest, whole], [("3", texts[2])])
+    assert [x for x in kept if x[0] != "3"] == [("5", "None"), ("None", "same line here")]
+    report = sorted((str(x.doc_id), x.n_lines, x.n_removed) for x in line_report(df).collect())
+    assert len(report) == 7 and sum(x[2] for x in report) == 3 and report[-1] == ("None", 1, 0)
+    far = docs_of(spark, ["one line of text"] * 2, [-(1 << 63), (1 << 63) - 1])
+    assert [x.doc_id for x in without_duplicate_lines(far).collect()] == [-(1 << 63)]
 
 
 def test_pipeline_stages_keep_their_columns(spark):

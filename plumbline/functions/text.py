@@ -2,15 +2,16 @@
 
 Texts are compared on code points; ``(?U)`` makes the classes of regular expressions Unicode-aware where the rules
 speak of any white space or digit. Canonical composition (NFC) has no built-in; ``compose`` is an Arrow function to be
-applied once to raw text that may hold decomposed letters.
+applied once to raw text that may hold decomposed letters; ``composed`` sends it only the texts that need it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -25,7 +26,7 @@ STOPWORDS = (
 # Negation words and condition keywords, in the order in which findings list them.
 NEGATION_WORDS = ("不得", "禁止", "免予", "除外", "不纳入", "不适用", "不可", "不能", "不允许", "不应", "无须", "无需", "非", "无", "不", "否")
 CONDITION_KEYWORDS = ("仅限", "仅", "必须", "须", "应当", "应", "需", "需要", "之前", "之后", "以内", "以外", "范围内", "范围外", "前提", "条件", "例外", "特殊", "除外")
-# English months by their number.
+# English months by their number. Spark's replacements are literal, so each month has its own pattern.
 MONTHS = (
     (1, "jan(?:uary)?"), (2, "feb(?:ruary)?"), (3, "mar(?:ch)?"), (4, "apr(?:il)?"), (5, "may"), (6, "june?"), (7, "july?"), (8, "aug(?:ust)?"),
     (9, "sep(?:t(?:ember)?)?"), (10, "oct(?:ober)?"), (11, "nov(?:ember)?"), (12, "dec(?:ember)?"),
@@ -43,6 +44,36 @@ def compose(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of the values, each of which is evaluated once for a row, however often the body speaks of it.
+
+    An expression that occurs several times within branches and lambdas is evaluated each time; a lambda's variable is not.
+    """
+    named = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(named, lambda s: body(*[s[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
+#: Characters that composition may change or join with their neighbours are all outside these.
+_COMPOSED = r"[^\x00-\x{2ff}\x{3001}-\x{3029}\x{3030}-\x{3098}\x{30a0}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff01}-\x{ff9f}]"
+
+
+def composed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the columns' texts (strings, or arrays of strings) in composed form.
+
+    Only texts with a character that composition may touch go to the Arrow function; the others stay in the JVM.
+    """
+    kinds = dict(df.dtypes)
+    out = df
+    for c in columns:
+        if kinds[c] == "array<string>":  # the separator occurs in no text and keeps composition apart
+            whole = F.array_join(F.col(c), "\u0000", "\u0001")
+            fixed = F.transform(F.split(compose(F.when(whole.rlike(_COMPOSED), whole)), "\u0000"), lambda x: F.when(x != "\u0001", x))
+        else:
+            fixed = compose(F.when(F.col(c).rlike(_COMPOSED), F.col(c)))
+        out = out.withColumn(c, F.coalesce(fixed, F.col(c)))
+    return out
+
+
 def normalize_text(text: Column) -> Column:
     """Full-width digits, letters, percent sign and point to half width; no commas between digits."""
     return F.regexp_replace(F.translate(text, FULLWIDTH, HALFWIDTH), r"(?<=\d),(?=\d)", "")
@@ -62,16 +93,18 @@ def normalize_faithfulness(text: Column) -> Column:
     for number, name in MONTHS:
         out = F.regexp_replace(out, rf"(?i)\b{name}\b", f"{number}月")
     out = F.regexp_replace(out, r"\b(\d{4})-(?:0(\d)|([1-9]\d))-(?:0(\d)|([1-9]\d))\b", "$1年$2$3月$4$5日")
-    between, values, scales = F.split(out, _SCALED, -1), F.regexp_extract_all(out, F.lit(_SCALED), F.lit(1)), F.regexp_extract_all(out, F.lit(_SCALED), F.lit(2))
 
     def in_yi(value: Column, scale: Column) -> Column:
         amount = F.when(F.lower(scale) == "million", value.cast("double") / 100).otherwise(value.cast("double") * 10)
         plain = F.format_string("%.10f", amount)
         return F.concat(F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", ""), F.lit("亿"))
 
-    amounts = F.zip_with(values, scales, in_yi)
-    pieces = F.zip_with(between, amounts, lambda gap, amount: F.concat(gap, F.coalesce(amount, F.lit(""))))
-    return F.when(F.size(values) > 0, F.array_join(pieces, "")).otherwise(out)
+    def converted(whole: Column) -> Column:
+        between, values, scales = F.split(whole, _SCALED, -1), F.regexp_extract_all(whole, F.lit(_SCALED), F.lit(1)), F.regexp_extract_all(whole, F.lit(_SCALED), F.lit(2))
+        pieces = F.zip_with(between, F.zip_with(values, scales, in_yi), lambda gap, amount: F.concat(gap, F.coalesce(amount, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return let(lambda whole: F.when(whole.rlike(_SCALED), converted(whole)).otherwise(whole), out)
 
 
 def pairs_of(run: Column) -> Column:
@@ -125,8 +158,8 @@ def bounded_numbers(normalized: Column) -> Column:
 
 def unsupported_numbers(numbers: Column, bounded: Column) -> Column:
     """The structs of ``numbers`` that the list of ``bounded_numbers`` does not hold; a percentage needs a percentage."""
-    plain = F.transform(bounded, lambda t: F.regexp_replace(t, "%$", ""))
-    return F.filter(numbers, lambda n: ~F.when(n["pct"], F.array_contains(bounded, F.concat(n["value"], F.lit("%")))).otherwise(F.array_contains(plain, n["value"])))
+    lost = lambda found, plain: F.filter(numbers, lambda n: ~F.when(n["pct"], F.array_contains(found, F.concat(n["value"], F.lit("%")))).otherwise(F.array_contains(plain, n["value"])))
+    return let(lambda found: let(lambda plain: lost(found, plain), F.transform(found, lambda t: F.regexp_replace(t, "%$", ""))), bounded)
 
 
 def number_supported(value: Column, pct: Column, context: Column) -> Column:
@@ -145,9 +178,8 @@ def condition_keywords(text: Column) -> Column:
 
 def co_occur(a: Column, b: Column, context: Column, window: str = "sentence") -> Column:
     """Whether both entities stand in one sentence (cut at 。；and line ends) or one paragraph."""
-    na, nb = normalize_for_match(a), normalize_for_match(b)
     parts = F.split(context, "\n\n" if window == "paragraph" else "[。；\n]")
-    both = F.exists(F.transform(parts, normalize_for_match), lambda s: F.contains(s, na) & F.contains(s, nb))
+    both = let(lambda na, nb: F.exists(F.transform(parts, normalize_for_match), lambda s: F.contains(s, na) & F.contains(s, nb)), normalize_for_match(a), normalize_for_match(b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(False)).otherwise(both)
 
 
@@ -161,10 +193,9 @@ def entity_pairs(text: Column, context: Column, most: int = 10, ahead: int = 4)
         each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.lit(10)), lambda k: F.when(i + k - 1 <= n, F.substring(run, i, k))))
         return F.filter(F.flatten(each), lambda s: s.isNotNull())
 
-    norm = normalize_for_match(context)
-    found = F.filter(F.array_distinct(F.flatten(F.transform(runs, substrings))), lambda s: F.contains(norm, s))
-    pairs = F.flatten(F.transform(found, lambda x, i: F.transform(F.slice(found, i + 2, F.lit(ahead)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return F.slice(pairs, 1, most)
+    within = lambda norm: F.filter(F.array_distinct(F.flatten(F.transform(runs, substrings))), lambda s: F.contains(norm, s))
+    pairs = lambda found: F.flatten(F.transform(found, lambda x, i: F.transform(F.slice(found, i + 2, F.lit(ahead)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return F.slice(let(pairs, let(within, normalize_for_match(context))), 1, most)
 
 
 def bm25_tokens(text: Column, protect=None) -> Column:
@@ -203,9 +234,8 @@ def number_spans(text: Column) -> Column:
 def relevant_paragraphs(query: Column, context: Column) -> Column:
     """Paragraphs with a digit or a CJK pair of the query; all of them if there is none."""
     parts = F.filter(F.transform(F.split(context, "\n\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: F.length(p) > 0)
-    wanted = cjk_pairs_across(query)
-    kept = F.filter(parts, lambda p: p.rlike(r"(?U)\d") | F.arrays_overlap(cjk_pairs_across(p), wanted))
-    return F.when(F.size(kept) > 0, kept).otherwise(parts)
+    kept = lambda all_, wanted: F.filter(all_, lambda p: p.rlike(r"(?U)\d") | F.arrays_overlap(cjk_pairs_across(p), wanted))
+    return let(lambda all_, wanted: let(lambda some: F.when(F.size(some) > 0, some).otherwise(all_), kept(all_, wanted)), parts, cjk_pairs_across(query))
 
 
 def missing_segments(gold: Column, covered: Column, most: int = 5) -> Column:
@@ -214,20 +244,23 @@ def missing_segments(gold: Column, covered: Column, most: int = 5) -> Column:
 
     Both characters of an uncovered pair count; pairs that are stopwords are never covered.
     """
-    norm = normalize_text(gold)
-    chars = F.split(norm, "")
-    n = F.size(chars)
-    at = lambda i: F.get(chars, i)
-    pair = lambda i: F.concat(at(i), at(i + 1))
     cjk = lambda c: c.rlike(f"^[{_CJK}]$")
-    gap = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i + 1 < n) & cjk(at(i)) & cjk(at(i + 1)), ~F.array_contains(covered, pair(i))).otherwise(F.lit(False)))
-    shown = F.transform(chars, lambda c, i: F.when(F.get(gap, i) | ((i > 0) & F.coalesce(F.get(gap, i - 1), F.lit(False))), c).otherwise(F.lit("\u0000")))
-    runs = F.regexp_extract_all(F.array_join(shown, ""), F.lit(r"\x00*([^\x00]+)"), F.lit(1))
-    numbered = F.transform(runs, lambda s, i: F.struct((-F.char_length(s)).alias("n"), i.alias("i"), s.alias("s")))
-    longest = F.slice(F.array_sort(numbered), 1, most)
-    ordered = F.array_sort(F.transform(longest, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    tokens = F.array_distinct(F.filter(ascii_tokens(norm), lambda t: ~F.array_contains(covered, t)))
-    return F.struct(F.transform(ordered, lambda x: x["s"]).alias("segments"), tokens.alias("tokens"))
+
+    def runs(chars: Column, have: Column) -> Column:
+        n = F.size(chars)
+        at = lambda i: F.get(chars, i)
+        lost = lambda i: F.when((i + 1 < n) & cjk(at(i)) & cjk(at(i + 1)), ~F.array_contains(have, F.concat(at(i), at(i + 1)))).otherwise(F.lit(False))
+        gaps = F.transform(F.sequence(F.lit(0), n - 1), lost)
+        shown = lambda gap: F.transform(chars, lambda c, i: F.when(F.get(gap, i) | ((i > 0) & F.coalesce(F.get(gap, i - 1), F.lit(False))), c).otherwise(F.lit("\u0000")))
+        return F.regexp_extract_all(F.array_join(let(shown, gaps), ""), F.lit(r"\x00*([^\x00]+)"), F.lit(1))
+
+    def longest(norm: Column, have: Column) -> Column:
+        numbered = F.transform(let(runs, F.split(norm, ""), have), lambda s, i: F.struct((-F.char_length(s)).alias("n"), i.alias("i"), s.alias("s")))
+        ordered = F.array_sort(F.transform(F.slice(F.array_sort(numbered), 1, most), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+        tokens = F.array_distinct(F.filter(ascii_tokens(norm), lambda t: ~F.array_contains(have, t)))
+        return F.struct(F.transform(ordered, lambda x: x["s"]).alias("segments"), tokens.alias("tokens"))
+
+    return let(longest, normalize_text(gold), covered)
 
 
 def contains_all(text: Column, words: Column) -> Column:
@@ -267,5 +300,71 @@ def truncate_display(text: str, width: int, suffix: str = "...") -> str:
 # Code fences, and JSON that a model's answer wraps.
 
 
+def rounded(x: Column) -> Column:
+    """A double from 0 to 1 to four decimals, by its exact binary value: what lies exactly in the middle goes to even.
+
+    x times 2^70 is a whole number (all that is lost is far below the fourth decimal), so whole numbers decide.
+    """
+    wide = "decimal(38,0)"
+    unit = F.expr(f"cast({1 << 70} as decimal(22,0))")
+    times = lambda n: (n.cast("decimal(6,0)") * unit).cast(wide)
+
+    def twice(scaled: Column) -> Column:
+        whole = (F.floor(scaled).cast(wide) * F.lit(1 << 35).cast("decimal(11,0)")).cast(wide) + ((scaled - F.floor(scaled)) * float(1 << 35)).cast("long").cast(wide)
+        return (whole * F.lit(20000).cast("decimal(5,0)")).cast(wide)
+
+    below = lambda near, t: F.when(times(near * 2) > t, near - 1).when(times(near * 2 + 2) <= t, near + 1).otherwise(near)
+    settled = lambda low, t: (low + ((t > times(low * 2 + 1)) | ((t == times(low * 2 + 1)) & (low % 2 == 1))).cast("long")) / F.lit(10000.0)
+    return let(lambda v: let(lambda near, t: let(settled, below(near, t), t), F.floor(v * 10000).cast("long"), let(twice, v * float(1 << 35))), x)
+
+
 def strip_code_fence(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^(?U:\s)*```[a-zA-Z]*(?U:\s)*", ""), r"(?U:\s)*```(?U:\s)*$", "")
+
+
+def fenced(text: Column) -> Column:
+    """What stands in the first code fence of a text, or the whole text, trimmed."""
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|$)", 1)
+    return F.regexp_replace(F.when(F.contains(text, F.lit("```")), inner).otherwise(text), r"(?U)^\s+|\s+$", "")
+
+
+def salvaged_objects(text: Column, key: str = "object_value") -> Column:
+    """The JSON objects of an answer's ``atomic_facts`` (array of strings): by parsing, or else, where the whole is broken,
+    every complete flat object that holds the key. One that cannot be parsed itself voids them all."""
+    plain = fenced(text)
+    value = F.try_parse_json(F.concat(F.lit("["), plain, F.lit("]")))  # in a list, as the parser ignores what follows a value
+    listed = F.coalesce(F.from_json(F.get_json_object(plain, "$.atomic_facts"), "array<string>"), F.array().cast("array<string>"))
+    flat = F.regexp_extract_all(plain, F.lit(rf'\{{[^{{}}]*"{key}"[^{{}}]*\}}'), F.lit(0))
+    sound = F.forall(flat, lambda x: F.try_parse_json(x).isNotNull())
+    broken = F.when(sound, flat).otherwise(F.array().cast("array<string>"))
+    return F.when(value.isNull(), broken).when(F.startswith(plain, F.lit("{")), listed).otherwise(F.array().cast("array<string>"))
+
+
+#: Characters that a JSON string escapes, with the escape, in the order in which they are replaced.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def json_escaped(text: Column) -> Column:
+    for plain, escape in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(escape))
+    return text
+
+
+def json_unescaped(text: Column) -> Column:
+    """What a JSON string stands for. One pass: an escaped backslash does not start another escape."""
+    return F.get_json_object(F.concat(F.lit('{"x":"'), text, F.lit('"}')), "$.x")
+
+
+# The policy answer's sentence, what stands for a missing field, and for what is no JSON object.
+POLICY_HEAD, POLICY_LV3, POLICY_CLINIC = "根据最新规约规定：", "1. 三级公立医院普通门诊报销比例为 ", "2. 特殊门诊（如恶性肿瘤放化疗）报销比例为 "
+POLICY_FREE, POLICY_REMOTE = " 且免起付线；", "3. 异地就医政策："
+POLICY_REFUSED, POLICY_PAID, POLICY_UNKNOWN, POLICY_BROKEN = "统筹基金一票否决不予报销", "可按规定报销", "未知", "规则装配异常，触发保底合规提示。"
+
+
+def policy_answer(facts: Column) -> Column:
+    """The sentence that a flat JSON object (lv3_ratio, special_clinic_ratio, remote_medical_covered) fills."""
+    plain = F.trim(F.replace(F.replace(facts, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
+    field = lambda name: F.coalesce(F.get_json_object(plain, f"$.{name}"), F.lit(POLICY_UNKNOWN))
+    remote = F.when(F.lower(F.coalesce(F.get_json_object(plain, "$.remote_medical_covered"), F.lit("true"))).isin("false", "0", ""), POLICY_REFUSED).otherwise(POLICY_PAID)
+    told = F.concat(F.lit(POLICY_HEAD + POLICY_LV3), field("lv3_ratio"), F.lit("；" + POLICY_CLINIC), field("special_clinic_ratio"), F.lit(POLICY_FREE + POLICY_REMOTE), remote, F.lit("。"))
+    return F.when(F.json_object_keys(plain).isNotNull(), told).otherwise(POLICY_BROKEN)

@@ -55,9 +55,25 @@ def classify_failure(data_invalid: Column, source_hit: Column, oracle_passed: Co
     )
 
 
+def checked_sources(samples: DataFrame, source: str = "source", text: str = "ground_truth_context") -> DataFrame:
+    """(source, text): each source once; a source with two texts is an error, which names the first such source."""
+    versions = samples.groupBy(F.col(source).alias("source")).agg(F.min(text).alias("text"), F.max(text).alias("_last"))
+    clash = F.concat(F.lit("a source has different texts: "), F.col("source"))
+    return versions.select("source", F.when(F.col("text") == F.col("_last"), F.col("text")).when(F.col("text").isNull(), F.col("text")).otherwise(F.raise_error(clash)).alias("text"))
+
+
+def copies(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
+    """(text_md5, copies, sources, first): texts that several rows have, and from how many sources."""
+    hashed = df.where(F.col(text).isNotNull()).select(F.md5(text).alias("text_md5"), F.col(source).alias("_source"), F.col(id_col).alias("_id"))
+    several = duplicate_keys(hashed, "text_md5")
+    spread = hashed.groupBy("text_md5").agg(F.count_distinct("_source").alias("sources"), F.min("_id").alias("first"))
+    return several.join(spread, "text_md5").select("text_md5", F.col("n").alias("copies"), "sources", "first")
+
+
 def source_chunks(samples: DataFrame, size: int = 300, overlap: int = 50) -> DataFrame:
     """Chunks of each distinct source, stamped with the one source that its text names, in order of first appearance."""
-    docs = samples.withColumn("source", F.coalesce("source_id", "id")).groupBy("source").agg(F.min("ordinal").alias("at"), F.first("ground_truth_context").alias("text"))
+    own = samples.withColumn("source", F.coalesce("source_id", "id"))
+    docs = checked_sources(own).join(own.groupBy("source").agg(F.min("ordinal").alias("at")), "source")
     named = docs.withColumn("marks", T.source_markers(F.col("text"))).select("source", "at", F.when(F.size("marks") == 1, F.get("marks", F.lit(0))).alias("scope_id"))
     cut = chunkers.recursive_chunks(docs, size, overlap, "source", "text").withColumnRenamed("doc_id", "source")
     return cut.join(named, "source").withColumn("doc", F.struct("at", "idx", "chunk_id"))

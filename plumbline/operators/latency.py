@@ -47,6 +47,29 @@ def memory_delta(samples: DataFrame, ts: str, used: str, *keys: str) -> DataFram
 
 
 def compare(rows: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
-    """Means of two groups, their ratio and the drop in percent."""
-    mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
-    return rows.agg(mean(a).alias("first"), mean(b).alias("second")).withColumns({"speed_up": F.try_divide("first", "second"), "drop_percent": (1 - F.try_divide("second", "first")) * 100})
+    """Mean, least and largest values of two groups, the means' ratio and the drop in percent."""
+    own = lambda f, g: f(F.when(F.col(group) == g, F.col(value)))
+    sides = [own(f, g).alias(name + said) for g, name in ((a, "first"), (b, "second")) for f, said in ((F.avg, ""), (F.min, "_min"), (F.max, "_max"))]
+    return rows.agg(*sides).withColumns({"speed_up": F.try_divide("first", "second"), "drop_percent": (1 - F.try_divide("second", "first")) * 100, "saved": F.col("first") - F.col("second")})
+
+
+def sweep(requests: DataFrame, level: str = "concurrency") -> DataFrame:
+    """For each level of (status, start, end, ttft, e2e, tokens, memory): how many were served, and with what."""
+    ok = F.col("status") == 200
+    served = lambda f, c: f(F.when(ok, F.col(c)))
+    wall = F.max("end") - F.min("start")
+    return requests.groupBy(level).agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("served"), F.max("memory").alias("peak_memory"), served(F.avg, "ttft").alias("avg_ttft"), served(F.avg, "e2e").alias("avg_e2e"),
+        F.coalesce(F.try_divide(served(F.sum, "tokens"), wall), F.lit(0.0)).alias("tokens_per_s"),
+    )
+
+
+def steady_streams(gaps_: DataFrame, *keys: str, p99_ms: float = 100.0, max_ms: float = 500.0) -> DataFrame:
+    """p99 and largest inter-token latency, and whether both stay below their limits."""
+    got = percentiles(gaps_, "itl_ms", *keys).select(*keys, "n", "p99", "max")
+    return got.withColumn("passed", (F.col("p99") < p99_ms) & (F.col("max") < max_ms))
+
+
+def by_completion(results: DataFrame, end: str = "end", *ties: str) -> DataFrame:
+    """Results in the order in which they were completed."""
+    return results.orderBy(end, *ties)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import audit, bm25, chunkers, coerce, facts, gateway, latency, logprobs, retrieval, rules, runner, scorers
+from plumbline.operators import audit, bm25, chunkers, coerce, facts, gateway, generation, latency, logprobs, mutate, retrieval, rules, runner, scorers
 from plumbline.sources import samples
 from plumbline.streaming import counters
 
-#: Items the SQL holds documents against (the queries take all there are), and how much further on the document is that others are checked against.
-ITEMS, NEXT = 40, 20
+#: How much further on (around the table) the document is that others are checked against.
+NEXT = 20
 NODES = ["node-a", "node-b", "node-c"]
 
 QUERIES: dict = {}
@@ -47,10 +47,11 @@ _MATCH = "lower(regexp_replace({0}, '\\s+', '', 'g'))"
 _GRADED = f"""graded AS (
     SELECT d.*, b.text AS gold, list_distinct(regexp_extract_all(b.text, '[A-Za-z]{{6,}}')) AS unordered, b.item_id,
            list_filter(regexp_extract_all(b.text, '[A-Za-z]{{6,}}'), lambda w, i: list_position(regexp_extract_all(b.text, '[A-Za-z]{{6,}}'), w) = i)[1:5] AS entities
-    FROM documents d JOIN benchmark b ON d.doc_id % {ITEMS} = b.item_id WHERE b.item_id < {ITEMS}
+    FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS items FROM benchmark) b ON d.doc_id % b.items = b.place
 )"""
-_RECALL = f"""round(1 - len(list_filter({_TERMS.format('gold')}, lambda w: NOT list_contains({_TERMS.format('text')}, w))) / len({_TERMS.format('gold')}), 4)"""
-_COMPLETE = f"""round(len(list_filter(entities, lambda e: contains({_MATCH.format('text')}, lower(e)))) / len(entities), 4)"""
+_RECALL = f"""round_even(1 - len(list_filter({_TERMS.format('gold')}, lambda w: NOT list_contains({_TERMS.format('text')}, w))) / len({_TERMS.format('gold')}), 4)"""
+_MEAN = "floor((2 * sum(CAST(round({0} * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 10000"
+_COMPLETE = f"""round_even(len(list_filter(entities, lambda e: contains({_MATCH.format('text')}, lower(e)))) / len(entities), 4)"""
 
 
 @query(f"WITH {_GRADED} SELECT doc_id, item_id, {_RECALL} AS recall, {_RECALL} >= 0.8 AS passed FROM graded")
@@ -70,12 +71,14 @@ def q03_required_entities(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    """Each document as an answer, with the document NEXT further on (of the same source) as its context."""
+    """Each document as an answer, with the document NEXT further on (of the same source), around the table, as its context."""
     docs = _t(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.col("text").alias("answer")).join(docs.select((F.col("doc_id") - NEXT).alias("doc_id"), F.col("text").alias("context")), "doc_id")
+    n = max(docs.count(), 1)
+    before = F.pmod(F.col("doc_id") - NEXT, F.lit(n))
+    return docs.select("doc_id", F.col("text").alias("answer")).join(docs.select(before.alias("doc_id"), F.col("text").alias("context")), "doc_id")
 
 
-_ANSWERS = f"answers AS (SELECT a.doc_id, a.text AS answer, c.text AS context FROM documents a JOIN documents c ON c.doc_id = a.doc_id + {NEXT})"
+_ANSWERS = f"answers AS (SELECT a.doc_id, a.text AS answer, c.text AS context FROM documents a JOIN documents c ON c.doc_id = (a.doc_id + {NEXT}) % (SELECT count(*) FROM documents))"
 
 
 @query(
@@ -92,15 +95,25 @@ def q04_faithfulness_numbers(spark, sf_dir):
     return pairs.select("doc_id", F.size("numbers").alias("n_numbers"), F.size(T.unsupported_numbers(F.col("numbers"), F.col("bounded"))).alias("n_unsupported"))
 
 
+_NUMBERS = "list_distinct(regexp_extract_all({0}, '[0-9]+(?:\\.[0-9]+)?%?'))"
+_BOUNDED = "list_transform(list_filter(regexp_extract_all({0}, '[0-9.]+(?:\\s*%)?'), lambda t: regexp_full_match(t, '[0-9]+(\\.[0-9]+)?(\\s*%)?')), lambda t: regexp_replace(t, '\\s', '', 'g'))"
+
+
 @query(
-    f"""WITH {_GRADED}, r AS (SELECT source, {_RECALL} AS recall, {_COMPLETE} AS complete FROM graded)
-    SELECT source, count(*) AS total, count(*) FILTER (recall >= 0.8 AND complete >= 0.8) AS passed, round(avg(recall), 4) AS avg_context_recall, round(avg(complete), 4) AS avg_completeness
-    FROM r GROUP BY source"""
+    f"""WITH {_GRADED}, r AS (SELECT source, {_RECALL} AS recall, {_COMPLETE} AS complete, {_NUMBERS.format('gold')} AS numbers, {_BOUNDED.format('text')} AS bounded FROM graded),
+    f AS (SELECT *, len(list_filter(numbers, lambda n: NOT (list_contains(bounded, n) OR list_contains(bounded, n || '%')))) = 0 AS faithful FROM r)
+    SELECT source, count(*) AS total, count(*) FILTER (recall >= 0.8 AND complete >= 0.8 AND faithful) AS passed, {_MEAN.format('recall')} AS avg_context_recall, {_MEAN.format('complete')} AS avg_completeness,
+           {_MEAN.format('CAST(faithful AS INTEGER)')} AS faithfulness_pass_rate FROM f GROUP BY source"""
 )
 def q05_summary_by_source(spark, sf_dir):
-    scored = _graded(spark, sf_dir).select("source", scorers.recall_score(F.col("gold"), F.col("text")).alias("context_recall_score"), scorers.completeness(F.col("entities"), F.col("text"))["score"].alias("completeness_score"), F.lit(True).alias("faithfulness_pass"))
+    """The item as an answer from the document: recall, completeness, faithfulness and passes by source."""
+    staged = _graded(spark, sf_dir).select("source", "gold", "entities", "text")
+    scored = staged.select(
+        "source", scorers.recall_score(F.col("gold"), F.col("text")).alias("context_recall_score"), scorers.completeness(F.col("entities"), F.col("text"))["score"].alias("completeness_score"),
+        scorers.faithfulness(F.col("text"), F.col("gold"))["passed"].alias("faithfulness_pass"),
+    )
     results = scored.withColumn("case_passed", scorers.case_passed(F.col("context_recall_score"), F.col("completeness_score"), F.col("faithfulness_pass")))
-    return runner.summarize(results, "source").select("source", "total", "passed", "avg_context_recall", "avg_completeness")
+    return runner.summarize(results, "source").select("source", "total", "passed", "avg_context_recall", "avg_completeness", "faithfulness_pass_rate")
 
 
 _TOKENS = "tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL)"
@@ -171,7 +184,7 @@ def q11_rrf(spark, sf_dir):
 @query(
     f"""WITH {_BM25}, blocks AS (SELECT query_id, string_agg(d.text, chr(10)) AS block FROM ranked r JOIN documents d ON r.doc = d.doc_id WHERE rank <= 3 GROUP BY query_id),
     both_ AS (SELECT b.item_id AS query_id, {_TERMS.format('b.text')} AS wanted, {_TERMS.format('k.block')} AS have FROM benchmark b JOIN blocks k ON b.item_id = k.query_id)
-    SELECT query_id, round(len(list_filter(wanted, lambda w: list_contains(have, w))) / len(wanted), 4) AS score FROM both_"""
+    SELECT query_id, round_even(len(list_filter(wanted, lambda w: list_contains(have, w))) / len(wanted), 4) AS score FROM both_"""
 )
 def q12_hit_at_k(spark, sf_dir):
     hits = _bm25_hits(spark, sf_dir, 3).join(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("content")), "doc")
@@ -258,8 +271,7 @@ def q19_rule_matrix(spark, sf_dir):
 
 @query("SELECT md5(text) AS text_md5, count(*) AS copies, count(DISTINCT source) AS sources, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1")
 def q20_audit_copies(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", F.md5("text").alias("text_md5"))
-    return docs.groupBy("text_md5").agg(F.count("*").alias("copies"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+    return audit.copies(_t(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumnRenamed("first", "first_doc")
 
 
 @query(
@@ -275,16 +287,20 @@ def q21_classify(spark, sf_dir):
 
 
 @query(
-    """WITH n AS (SELECT doc_id, text, regexp_extract(text, '[0-9]+') AS d FROM documents WHERE regexp_matches(text, '[0-9]')),
-    m AS (SELECT doc_id, text, d, CAST(CAST(d AS HUGEINT) + 1 AS VARCHAR) AS e, strpos(text, d) AS p FROM n WHERE length(d) < 30)
-    SELECT doc_id, md5(substr(text, 1, p - 1) || e || substr(text, p + length(d))) AS swapped_md5, md5(replace(text, d, '')) AS dropped_md5, md5(text || '10%') AS injected_md5 FROM m"""
+    """WITH n AS (SELECT doc_id, text, regexp_extract(text, '[0-9]+') AS d, regexp_extract_all(text, '[A-Za-z]{8,}')[1] AS w FROM documents WHERE regexp_matches(text, '[0-9]')),
+    m AS (SELECT *, strpos(text, d) AS p, len(d) - len(rtrim(d, '9')) AS nines, rtrim(d, '9') AS head FROM n),
+    u AS (SELECT *, CASE WHEN head = '' THEN '1' ELSE substr(regexp_replace(head, '^0+(.)', '\\1'), 1, len(regexp_replace(head, '^0+(.)', '\\1')) - 1) || CAST(CAST(right(head, 1) AS INTEGER) + 1 AS VARCHAR) END || repeat('0', nines) AS e FROM m)
+    SELECT doc_id, md5(substr(text, 1, p - 1) || e || substr(text, p + length(d))) AS raised_md5, md5(CASE WHEN w IS NULL THEN text ELSE replace(text, w, '') END) AS dropped_md5,
+           md5(rtrim(CASE WHEN contains(text, ' the ') THEN split_part(text, ' the ', 1) ELSE text || '!' END, CASE WHEN contains(text, ' the ') THEN '，；。 ' ELSE '!' END)) AS cut_md5, md5(text || '10%') AS added_md5 FROM u"""
 )
 def q22_mutations(spark, sf_dir):
-    found = _t(spark, sf_dir, "documents").withColumn("d", F.regexp_extract("text", "[0-9]+", 0)).where("d <> '' and length(d) < 30").withColumn("p", F.instr("text", F.col("d")))
-    swapped = F.concat(F.substring("text", F.lit(1), F.col("p") - 1), (F.col("d").cast("decimal(38,0)") + 1).cast("decimal(38,0)").cast("string"), F.substring("text", F.col("p") + F.length("d"), F.length("text")))
-    return found.select("doc_id", F.md5(swapped).alias("swapped_md5"), F.md5(F.replace("text", F.col("d"), F.lit(""))).alias("dropped_md5"), F.md5(F.concat("text", F.lit("10%"))).alias("injected_md5"))
+    text = F.col("text")
+    found = _t(spark, sf_dir, "documents").where(mutate.first_number(text) != "").withColumn("w", F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)), F.lit(0)))
+    cut = F.when(F.contains(text, F.lit(" the ")), mutate.condition_dropped(text, (" the ",))).otherwise(F.rtrim(F.concat(text, F.lit("!")), F.lit("!")))
+    return found.select("doc_id", F.md5(mutate.number_raised(text)).alias("raised_md5"), F.md5(mutate.entity_dropped(text, F.col("w"))).alias("dropped_md5"), F.md5(cut).alias("cut_md5"), F.md5(mutate.claim_added(text, "10%")).alias("added_md5"))
 
 
+_FOUR_RING = "ring AS (SELECT md5(node || '#VN' || i) AS h, node FROM (SELECT unnest(['node-b', 'node-c', 'node-d']) AS node), range(64) r(i))"
 _FINGERPRINT = "substr(sha256(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1500)), 1, 16)"
 
 
@@ -430,7 +446,7 @@ def q39_quality_baseline(spark, sf_dir):
     + " AS wanted, "
     + _TERMS.format("a")
     + """ AS have FROM p)
-    SELECT conv_id, turn, CASE WHEN len(wanted) = 0 THEN 1.0 ELSE round(1 - len(list_filter(wanted, lambda w: NOT list_contains(have, w))) / len(wanted), 4) END AS recall FROM s"""
+    SELECT conv_id, turn, CASE WHEN len(wanted) = 0 THEN 1.0 ELSE round_even(1 - len(list_filter(wanted, lambda w: NOT list_contains(have, w))) / len(wanted), 4) END AS recall FROM s"""
 )
 def q40_conversation_recall(spark, sf_dir):
     turns = _t(spark, sf_dir, "conversations")
@@ -473,11 +489,11 @@ def q45_streaming_windows(spark, sf_dir):
 
 @query(
     f"""WITH {_GRADED}, r AS (SELECT lang, source, {_RECALL} AS recall FROM graded)
-    SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, round(avg(recall), 4) AS avg_recall FROM r GROUP BY ROLLUP (lang, source)"""
+    SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, floor((2 * sum(CAST(round(recall * 10000) AS BIGINT)) + count(*)) / (2 * count(*))) / 10000 AS avg_recall FROM r GROUP BY ROLLUP (lang, source)"""
 )
 def q46_recall_rollup(spark, sf_dir):
     rows = _graded(spark, sf_dir).select("lang", "source", scorers.recall_score(F.col("gold"), F.col("text")).alias("recall"))
-    return rows.rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("avg_recall")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n", "avg_recall")
+    return rows.rollup("lang", "source").agg(F.count("*").alias("n"), runner.mean_of_scores("recall").alias("avg_recall")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n", "avg_recall")
 
 
 @query()
@@ -490,6 +506,139 @@ def q47_source_scope(spark, sf_dir):
     return retrieval.select_context(hits, asked).select("query_id", "error_code", F.md5("context").alias("context_md5"), "selected_sources", "discarded_sources")
 
 
+_COSINE = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    near AS (SELECT q.vec_id AS query_id, r.vec_id AS doc, list_cosine_similarity(q.e, r.e) AS score FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+    near_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM near)"""
+
+
+@query(
+    f"""WITH {_BM25}, {_COSINE},
+    lists AS (SELECT query_id, doc, rank, 0 AS list FROM ranked WHERE rank <= 8 UNION ALL SELECT query_id, doc, rank, 1 FROM near_ranked WHERE rank <= 8),
+    fused AS (SELECT query_id, doc, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM lists GROUP BY ALL),
+    final AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, doc) AS INTEGER) AS rank FROM fused)
+    SELECT query_id, rank, doc, round(score, 6) AS score FROM final WHERE rank <= 4"""
+)
+def q48_hybrid(spark, sf_dir):
+    """Hybrid retrieval with a vector engine over the embeddings (vector and document of one number belong together)."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+    def engine(queries: DataFrame, n: int) -> DataFrame:
+        asked = rows.join(queries.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+        return retrieval.cosine_top_k(rows, asked, n)
+
+    index = bm25.fit(_t(spark, sf_dir, "documents"))
+    return retrieval.hybrid(index, _t(spark, sf_dir, "benchmark"), 4, engine, query_col="item_id").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {_BM25}, k AS (SELECT query_id, string_agg(d.text, chr(10) || chr(10) ORDER BY r.rank) AS context FROM ranked r JOIN documents d ON r.doc = d.doc_id WHERE rank <= 2 GROUP BY query_id),
+    b AS (SELECT item_id AS query_id, {_TERMS.format('text')} AS wanted FROM benchmark), h AS (SELECT b.query_id, wanted, {_TERMS.format('coalesce(k.context, chr(32))')} AS have FROM b LEFT JOIN k USING (query_id)),
+    s AS (SELECT query_id, round_even(1 - len(list_filter(wanted, lambda w: NOT list_contains(have, w))) / len(wanted), 4) AS recall FROM h)
+    SELECT query_id, recall, recall >= 0.8 AS passed FROM s"""
+)
+def q49_retrieval_recall(spark, sf_dir):
+    """Retrieval alone, by BM25, held against the items."""
+    docs, asked = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
+    hits = retrieval.hybrid(bm25.fit(docs), asked, 2, query_col="item_id").join(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("content")), "doc")
+    return retrieval.recall_at(hits, asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("gold")))
+
+
+@query(
+    """SELECT 'versions' AS code, source AS subject, count(DISTINCT text) AS n FROM documents WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT text) > 1
+    UNION ALL SELECT 'duplicate', CAST(n_chars AS VARCHAR), count(*) FROM documents GROUP BY n_chars HAVING count(*) > 1"""
+)
+def q50_conflicts(spark, sf_dir):
+    """Sources with several texts, and lengths that several documents have."""
+    docs = _t(spark, sf_dir, "documents")
+    versions = audit.conflicting(docs, "source", "text").select(F.lit("versions").alias("code"), F.col("source").alias("subject"), F.col("versions").alias("n"))
+    return versions.unionByName(audit.duplicate_keys(docs, "n_chars").select(F.lit("duplicate").alias("code"), F.col("n_chars").cast("string").alias("subject"), "n"))
+
+
+@query(
+    f"""WITH {_ANSWERS}, w AS (SELECT doc_id, regexp_extract_all(answer, '[A-Za-z]{{8,}}')[1] AS w, regexp_extract_all(context, '[A-Za-z]{{8,}}')[1] AS r, {_MATCH.format('context')} AS c FROM answers),
+    v AS (SELECT doc_id, coalesce(contains(c, lower(w)), false) AND w IS NOT NULL AS ok, r IS NOT NULL AS can FROM w)
+    SELECT doc_id, ok OR can AS accepted, CAST(CASE WHEN NOT ok AND can THEN 1 ELSE 0 END AS INTEGER) AS repair_count,
+           CASE WHEN ok THEN 'extract>validate>decide>accept' WHEN can THEN 'extract>validate>decide>repair>revalidate>decide>accept' ELSE 'extract>validate>decide>reject' END AS trace,
+           CASE WHEN doc_id % 3 = 0 THEN '未知顶层键 ''note''，已剔除' ELSE '' END AS violations FROM v"""
+)
+def q51_constrained_decoding(spark, sf_dir):
+    """A word of the answer as a candidate fact, and one of the context as its repair; some payloads have a strange key."""
+    word = lambda c: F.get(F.regexp_extract_all(c, F.lit("[A-Za-z]{8,}"), F.lit(0)), F.lit(0))
+    fact = lambda w: F.array(F.struct(F.lit("").alias("subject"), F.lit("").alias("predicate"), F.coalesce(w, F.lit("")).alias("object_value"), F.lit("categorical").alias("fact_type")))
+    rows = _answers(spark, sf_dir).withColumns({"w": word("answer"), "r": word("context")})
+    note = F.when(F.col("doc_id") % 3 == 0, "seen")
+    rows = rows.select("doc_id", "context", F.to_json(F.struct(fact(F.col("w")).alias("atomic_facts"), note.alias("note"))).alias("payload"), F.when(F.col("r").isNotNull(), F.to_json(F.struct(fact(F.col("r")).alias("atomic_facts")))).alias("repair"))
+    got = generation.decode(rows, repair="repair")
+    return got.select("doc_id", "accepted", "repair_count", F.array_join("trace", ">").alias("trace"), F.array_join("schema_violations", "; ").alias("violations"))
+
+
+_BURST = "burst AS (SELECT *, CASE event_type WHEN 'signup' THEN 429 WHEN 'error' THEN 500 ELSE 200 END AS status FROM events)"
+
+
+@query(
+    f"""WITH {_BURST}, s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place FROM burst WHERE status = 200)
+    SELECT count(*) AS total, count(*) FILTER (status = 200) AS served, count(*) FILTER (status = 429) AS rejected, count(*) FILTER (status = 500) AS errors, round(avg(value) FILTER (status = 429), 4) AS rejected_mean_ms,
+           min(value) FILTER (status = 429) AS rejected_min_ms, max(value) FILTER (status = 429) AS rejected_max_ms, count(*) FILTER (status = 200 AND value <= 5) AS immediate, count(*) FILTER (status = 200 AND value > 5) AS queued,
+           max(value) FILTER (status = 200) AS longest_wait_ms, (SELECT value FROM s WHERE place = (SELECT count(*) // 2 FROM s)) AS middle_wait_ms, false AS shed_passed, false AS queue_passed FROM burst"""
+)
+def q52_burst_report(spark, sf_dir):
+    status = F.when(F.col("event_type") == "signup", 429).when(F.col("event_type") == "error", 500).otherwise(200)
+    rows = _t(spark, sf_dir, "events").select(status.alias("status"), F.col("value").alias("latency_ms"), (F.col("value") / 1000).alias("decision_ms"), F.col("value").alias("wait_ms"))
+    got = gateway.burst_report(rows, 2, 4).withColumn("rejected_mean_ms", F.round("rejected_mean_ms", 4))
+    return got.select("total", "served", "rejected", "errors", "rejected_mean_ms", "rejected_min_ms", "rejected_max_ms", "immediate", "queued", "longest_wait_ms", "middle_wait_ms", "shed_passed", "queue_passed")
+
+
+@query(
+    f"""WITH {_BURST} SELECT user_id % 8 AS concurrency, count(*) AS total, count(*) FILTER (status = 200) AS served, max(value) AS peak_memory, round(avg(value) FILTER (status = 200), 4) AS avg_ttft,
+    round(coalesce(sum(user_id) FILTER (status = 200) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 0), 6) AS tokens_per_s FROM burst GROUP BY 1"""
+)
+def q53_concurrency_sweep(spark, sf_dir):
+    status = F.when(F.col("event_type") == "signup", 429).when(F.col("event_type") == "error", 500).otherwise(200)
+    at = latency.micros("ts") / 1e6
+    rows = _t(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("concurrency"), status.alias("status"), at.alias("start"), at.alias("end"), F.col("value").alias("ttft"), F.col("value").alias("e2e"), F.col("user_id").alias("tokens"), F.col("value").alias("memory"))
+    return latency.sweep(rows).select("concurrency", "total", "served", "peak_memory", F.round("avg_ttft", 4).alias("avg_ttft"), F.round("tokens_per_s", 6).alias("tokens_per_s"))
+
+
+@query(
+    f"""WITH {_FOUR_RING}, keys AS (SELECT doc_id, {_FINGERPRINT} AS fp FROM documents)
+    SELECT doc_id, coalesce((SELECT min_by(node, h) FROM ring WHERE h > md5(fp)), (SELECT min_by(node, h) FROM ring)) AS node FROM keys"""
+)
+def q54_ring_changes(spark, sf_dir):
+    """Nodes after one has come and another has gone."""
+    nodes = gateway.without_nodes(gateway.with_nodes(gateway.ring(spark, NODES), ["node-d"]), ["node-a"])
+    keys = _t(spark, sf_dir, "documents").select("doc_id", gateway.prefix_fingerprint(F.col("text")).alias("fp"))
+    return gateway.assign(keys, nodes, "fp").select("doc_id", "node")
+
+
+@query(
+    """SELECT user_id AS node, event_id, sum(d) OVER w - least(min(d2) OVER w, 0) AS active FROM (
+        SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS d, sum(CASE WHEN event_type = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS d2 FROM events)
+    WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""".replace("sum(d) OVER w -", "d2 -")
+)
+def q55_active_slots(spark, sf_dir):
+    events = _t(spark, sf_dir, "events").select(F.col("user_id").alias("node"), "event_id", F.col("event_id").alias("at"), F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("delta"))
+    return gateway.active_slots(events).select("node", "event_id", "active")
+
+
+@query("SELECT user_id AS req_id, (min(epoch_us(ts)) - min(epoch_us(ts) - 1000 * event_id)) / 1e6 AS ttft, (max(epoch_us(ts)) - min(epoch_us(ts) - 1000 * event_id)) / 1e6 AS e2e FROM events GROUP BY user_id")
+def q56_stream_times(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "events").select(F.col("user_id").alias("req_id"), latency.micros("ts").alias("at"), (latency.micros("ts") - 1000 * F.col("event_id")).alias("start"))
+    return gateway.stream_times(chunks).select("req_id", (F.col("ttft") / 1e6).alias("ttft"), (F.col("e2e") / 1e6).alias("e2e"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"atomic_facts": [{"object_value": "' || lang || '"}, 7]}' WHEN doc_id % 3 = 1 THEN 'cut: {"object_value": "' || lang || '"} {"object_value": "x"} {"object_value":' ELSE '[1' END AS answer FROM documents)
+    SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS n FROM r"""
+)
+def q57_salvaged_objects(spark, sf_dir):
+    """Facts of answers that are JSON, broken JSON, and neither."""
+    lang, kind = F.col("lang"), F.col("doc_id") % 3
+    whole = F.concat(F.lit('{"atomic_facts": [{"object_value": "'), lang, F.lit('"}, 7]}'))
+    broken = F.concat(F.lit('cut: {"object_value": "'), lang, F.lit('"} {"object_value": "x"} {"object_value":'))
+    rows = _t(spark, sf_dir, "documents").withColumn("answer", F.when(kind == 0, whole).when(kind == 1, broken).otherwise("[1"))
+    return rows.select("doc_id", F.size(T.salvaged_objects(F.col("answer"))).alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, completeness and pass rate by source."""
     return q05_summary_by_source(spark, sf_dir)

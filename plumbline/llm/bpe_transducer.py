@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.groups import lean
+from plumbline.llm.scratch import Scratch
 
 MEMO = 400_000
 #: Words longer than this many bytes are merged by the heap.
@@ -374,9 +375,10 @@ def encoder(tokenizer: str, lexicon: str | None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str, most: int) -> DataFrame:
-    """(word, n): the ``most`` most frequent pattern words, counted over all whole texts.
+    """(word, n): the most frequent pattern words, ``most`` at most, counted over all whole texts.
 
-    Each batch hands over the words it holds twice or more, with their counts there; what a batch holds once is left
+    All words from a count on are taken (counts stand in eighths of powers of two), the least such count with which they
+    are no more than ``most``; so nothing is sorted, and the driver gets these words only. Each batch hands over the words it holds twice or more, with their counts there; what a batch holds once is left
     out of the sums. The list only decides which words are compiled, never what ids come out.
     """
 
@@ -392,12 +394,20 @@ def frequent_words(docs: DataFrame, text_col: str, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     counted = docs.select(text_col).mapInArrow(lean(run), "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    level = F.floor(F.log2("n") * 8).cast("int")
+    words = Scratch(docs.sparkSession, "words").table(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", level), "words")
+    held, least = 0, None
+    for r in words.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a few hundred rows
+        held += r.n
+        if held > most:
+            break
+        least = r.level
+    return words.where(F.col("level") >= (least if least is not None else 1 << 30)).select("word", "n")
 
 
 def compile_lexicon(spark: SparkSession, docs: DataFrame, tokenizer: str, text_col: str = "text", most: int = LEXICON_WORDS) -> str:
     """Compile the corpus's frequent words and hand the file to all executors; its name there is returned."""
-    words = [r.word.encode() for r in frequent_words(docs, text_col, most).collect()]  # at most ``most`` words
+    words = sorted(r.word.encode() for r in frequent_words(docs, text_col, most).collect())  # at most ``most`` words
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.fst")
         write_lexicon(path, words, ByteBpe(tokenizer))

@@ -1,9 +1,11 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are sorted by page id into ranges; each task writes one range as files that it rolls once they reach a
-compressed size. Every record is a gzip member of its own, with headers and digests made anew. A file is written under
-a temporary name of the task attempt and renamed when complete, so a task that runs again, or twice, leaves the same
-bytes under the same names. The archive counts once its manifest is there, which is renamed into place last.
+Records are sorted by page id into shards of about SHARD_BYTES of payload, whose bounds follow from the table alone (sums
+over CELLS equal spans of ids; a span is never divided), not from the session or from sampling. A shard is written as
+files that are rolled once they reach a compressed size. Every record is a gzip member of its own, with headers and
+digests made anew. A file is written under a temporary name of the task attempt and renamed when complete; one that a
+former attempt has completed holds the same bytes and stays, so no reader finds a file gone. The archive counts once
+its manifest is there, which is renamed into place last; a folder that has one already is refused.
 
 Of records with equal payloads (of ``min_bytes`` at least) the one with the smallest id is a ``response``; the others
 are ``revisit`` records without payload that refer to it. Smaller payloads are all responses.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import Scratch, partitions_for
 
-ROLL_BYTES = 8 << 20
+ROLL_BYTES, SHARD_BYTES, CELLS = 8 << 20, 64 << 20, 4096
 DATE = "2024-01-01T00:00:00Z"
 _MANIFEST = "file string, n_records long, first_id long, last_id long, n_bytes long, sha256 string"
 _ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -69,11 +71,11 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 class _Rolling:
     """Files of one range: write, roll by compressed size, rename when complete."""
 
-    def __init__(self, uri: str, shard: int, attempt: int, roll_bytes: int):
+    def __init__(self, uri: str, shard: int, attempt: int, roll_bytes: int, done: list):
         self.fs, self.base = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.base, recursive=True)
         self.shard, self.attempt, self.roll = shard, attempt, roll_bytes
-        self.seq, self.out, self.done = 0, None, []
+        self.seq, self.out, self.done = 0, None, done
 
     def write(self, page_id: int | None, record: bytes) -> None:
         if self.out is None:
@@ -98,16 +100,43 @@ class _Rolling:
             return
         self.out.close()
         final = f"{self.base}/{self.name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # of an attempt before; the same bytes
-            self.fs.delete_file(final)
-        self.fs.move(self.temp, final)
+        if self.fs.get_file_info(final).type == pafs.FileType.NotFound:
+            self.fs.move(self.temp, final)
+        else:  # of an attempt before; the same bytes
+            self.fs.delete_file(self.temp)
         self.done.append((self.name, self.n, self.first, self.last, self.size, self.sha.hexdigest()))
         self.out, self.seq = None, self.seq + 1
 
 
-def write_archive(pages: DataFrame, where: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def _cell(page_id, low: int, span: int):
+    """The span of ids that a page is in; pages without an id are before all others. Decimals, as ids may take all 64 bits."""
+    at = ((page_id.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(span).cast("decimal(20,0)")).cast("int")
+    return F.coalesce(at, F.lit(-1))
+
+
+def _shards(pages: DataFrame, shard_bytes: int) -> tuple[list[tuple[int, int]], int, int]:
+    """((cell, shard) of the cells that hold pages, the least id, and the ids of a cell): shards of whole cells."""
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    span = (high - low) // CELLS + 1
+    sums = pages.groupBy(_cell(F.col("page_id"), low, span).alias("cell")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")).alias("n"))
+    out, shard, held = [], 0, 0
+    for cell, n in sorted((r.cell, r.n) for r in sums.collect()):  # CELLS rows at most, and one
+        if held and held + n > shard_bytes:
+            shard, held = shard + 1, 0
+        out.append((cell, shard))
+        held += n
+    return out, low, span
+
+
+def write_archive(pages: DataFrame, where: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """Write (page_id, url, html) as WARC files below ``where``; gives the manifest (one row a file)."""
     spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    temp, final = f"{where}/_manifest.part", f"{where}/_manifest"
+    files = path(final).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path(final)):
+        raise FileExistsError(f"{where} holds an archive")
     scratch = scratch or Scratch(spark, "warc")
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     slim = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("n")).where(F.col("n") >= min_bytes)
@@ -115,15 +144,22 @@ def write_archive(pages: DataFrame, where: str, min_bytes: int = 0, roll_bytes:
     marks = scratch.table(slim.join(firsts, "digest").where("page_id > first").select("page_id", "digest", "first").distinct(), "revisits")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", F.coalesce("html", F.lit("")).alias("html"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first"))
     both = rows.unionByName(marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first"))
-    n = partitions_for(spark, 0)
-    ordered = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    cells, low, span = _shards(pages, shard_bytes)
+    spread = both.withColumn("cell", _cell(F.col("page_id"), low, span)).join(F.broadcast(spark.createDataFrame(cells, "cell int, shard int")), "cell")
+    n = max(partitions_for(spark, 0), len({shard for _, shard in cells}))
+    order = ["page_id", "kind", "url", "html"]
+    ordered = spread.repartition(n, "shard").sortWithinPartitions("shard", *order).select(*order, "digest", "first", "shard")
 
     def run(batches):
         task = TaskContext.get()
-        out, marks_of, at = _Rolling(where, task.partitionId(), task.taskAttemptId(), roll_bytes), {}, None
+        out, done, marks_of, at = None, [], {}, None
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                page_id, kind, url, html, digest, first = r
+            for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                page_id, kind, url, html, digest, first, shard = r
+                if out is None or shard != out.shard:
+                    if out is not None:
+                        out.close()
+                    out = _Rolling(where, shard, task.taskAttemptId(), roll_bytes, done)
                 if page_id != at:
                     marks_of, at = {}, page_id
                 if kind == 0:
@@ -132,15 +168,15 @@ def write_archive(pages: DataFrame, where: str, min_bytes: int = 0, roll_bytes:
                 data = html.encode()
                 own = hashlib.sha1(data).digest()
                 out.write(page_id, page_record(page_id, url, data, base64.b32encode(own).decode(), marks_of.get(own)))
-        out.close()
-        if out.done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out.done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "n_records", "first_id", "last_id", "n_bytes", "sha256"])
+        if out is not None:
+            out.close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "n_records", "first_id", "last_id", "n_bytes", "sha256"])
 
     manifest = ordered.mapInArrow(run, _MANIFEST)
-    temp, final = f"{where}/_manifest.part", f"{where}/_manifest"
     manifest.write.mode("overwrite").json(temp)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    path(final).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(temp), path(final))
+    if not files.rename(path(temp), path(final)):
+        raise OSError(f"{temp} cannot be renamed")
     return read_manifest(spark, where)
 
 

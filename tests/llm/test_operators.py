@@ -301,6 +301,24 @@ def test_warc_round_trip(spark, roll):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_files_do_not_depend_on_the_session(spark):
+    rows = [(i * i - 500, f"http://h/{i}", f"<p>{i % 37}</p>" * (i % 50)) for i in range(300)] + [(None, "http://none", "x"), ((1 << 63) - 1, None, "far"), (-(1 << 63), None, "far")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch, seen = Scratch(spark, "w"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("7", "31"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            where = scratch.path(n)
+            seen.append(sorted(tuple(m) for m in warc.write_archive(pages.repartition(int(n) % 5 + 1), where, roll_bytes=3000, shard_bytes=9000, scratch=scratch).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len({m[0].split("-")[1] for m in seen[0]}) > 2 and sum(m[1] for m in seen[0]) == len(rows)
+    assert sorted((x.page_id is None, x.page_id or 0) for x in warc.read_archive(spark, where).collect()) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    with pytest.raises(FileExistsError):
+        warc.write_archive(pages, where, scratch=scratch)
+
+
 # 8
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")

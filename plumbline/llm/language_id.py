@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from plumbline.llm.bytescan import as_bytes, groups_by_bytes
 from plumbline.llm.groups import lean
+from plumbline.llm.scratch import Scratch
 
 BINS = 1 << 16
 PER_LANGUAGE = 400
@@ -125,12 +126,15 @@ def _domain(host: str) -> Column:
     return F.when(F.size(parts) > 2, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col(host))
 
 
-def host_priors(scored: DataFrame, model: TextModel, host: str, evidence: Evidence) -> tuple[DataFrame, list[float]]:
-    """(host, lang_prior array<double>) and the table's own prior; shares smoothed from host to domain to table."""
+def host_priors(scored: DataFrame, model: TextModel, host: str, evidence: Evidence, scratch: Scratch) -> tuple[DataFrame, list[float]]:
+    """(host, lang_prior array<double>) and the table's own prior; shares smoothed from host to domain to table.
+
+    The hosts' counts are written, so that the texts are scored once for them.
+    """
     best = F.array_position(F.slice("lang_ll", 1, len(model.languages)), F.array_max(F.slice("lang_ll", 1, len(model.languages))))
     lettered = scored.where("lang_letters > 0").select(F.col(host).alias("lang_host"), best.alias("b"))
     sums = [F.sum((F.col("b") == k + 1).cast("long")).alias(f"n{k}") for k in range(len(model.languages))]
-    by_host = lettered.groupBy("lang_host").agg(*sums)
+    by_host = scratch.table(lettered.groupBy("lang_host").agg(*sums), "hosts")
     names = [f"n{k}" for k in range(len(model.languages))]
     by_host = by_host.withColumn("lang_domain", _domain("lang_host"))
     by_domain = by_host.groupBy("lang_domain").agg(*[F.sum(n).alias(f"d{n}") for n in names])
@@ -144,17 +148,21 @@ def host_priors(scored: DataFrame, model: TextModel, host: str, evidence: Eviden
     return priors, world
 
 
-def identify(df: DataFrame, model: TextModel, text: str = "text", host: str | None = None, declared: str | None = None, suffix: str | None = None, evidence: Evidence = Evidence()) -> DataFrame:
-    """``df`` with lang_id, lang_posterior (of lang_id) and lang_accepted."""
+def identify(df: DataFrame, model: TextModel, text: str = "text", host: str | None = None, declared: str | None = None, suffix: str | None = None, evidence: Evidence = Evidence(), scratch: Scratch | None = None) -> DataFrame:
+    """``df`` with lang_id, lang_posterior (of lang_id) and lang_accepted.
+
+    Of languages with equal posteriors the first in alphabetical order is taken. Rows that repeat count each for their
+    host. Texts without letters are und. No rows give no rows.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "language")
     df = df.drop("lang_id", "lang_posterior", "lang_accepted", "lang_prior", "lang_host")
     langs = model.languages
     scored = likelihoods(df, model, text)
     flat = F.array(*[F.lit(1.0 / len(langs)) for _ in langs])
     if host:
         slim = likelihoods(df.select(text, F.col(host).alias("lang_at")), model, text)
-        priors, world = host_priors(slim, model, "lang_at", evidence)
+        priors, world = host_priors(slim, model, "lang_at", evidence, scratch)
         flat = F.array(*map(F.lit, world))
-        priors = priors.cache()
         if priors.count() <= BROADCAST_HOSTS:
             priors = F.broadcast(priors)
         scored = scored.join(priors, scored[host] == priors["lang_host"], "left").drop("lang_host")

@@ -263,6 +263,61 @@ def test_language_id(spark):
     assert language_id.identify(df.limit(0), model, host="host").count() == 0
 
 
+def test_posteriors_match_plain_fusion(spark):
+    """Host shares, their smoothing from domain and table, declared language and suffix, all once more in plain Python."""
+    r = np.random.default_rng(4)
+    langs = ("de", "en", "fr")
+    model = language_id.TextModel(langs, np.log(r.dirichlet(np.ones(40), size=4).T.repeat(language_id.BINS // 40 + 1, axis=0)[: language_id.BINS]).astype(np.float32))
+    pick = random.Random(6)
+    hosts = ["a.x.com", "b.x.com", "x.com", "c.y.org", None]
+    rows = [(i, " ".join(pick.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(pick.randint(0, 6))), pick.choice(hosts), pick.choice(["EN-us", "fr", "zz", None]), pick.choice(["de", "com", None])) for i in range(80)]
+    rows += [(80, None, "a.x.com", "de", "de"), (81, "12", "q.com", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, declared string, suffix string")
+    e = language_id.Evidence(temper=0.05)
+    got = {x.doc_id: x for x in language_id.identify(df, model, host="host", declared="declared", suffix="suffix", evidence=e).collect()}
+    scores, letters = model.score([(t or "").encode() for _, t, *_ in rows])
+    n_host, n_domain, n_all = (collections.defaultdict(lambda: [0, 0, 0]) for _ in range(3))
+    domain = lambda h: h and ".".join(h.split(".")[-2:])
+    for row, s, n in zip(rows, scores, letters, strict=True):
+        if n:
+            k = int(np.argmax(s[:3]))
+            n_host[row[2]][k] += 1
+            n_all[""][k] += 1
+    for h, n in n_host.items():
+        if h is not None:
+            for k in range(3):
+                n_domain[domain(h)][k] += n[k]
+    world = [(n_all[""][k] + 1) / (sum(n_all[""]) + 3) for k in range(3)]
+    for (i, _, h, declared, suffix), s, n in zip(rows, scores, letters, strict=True):
+        if h is not None and h in n_host:
+            d = n_domain[domain(h)]
+            prior = [(n_host[h][k] + e.smoothing * (d[k] + e.smoothing * world[k]) / (sum(d) + e.smoothing)) / (sum(n_host[h]) + e.smoothing) for k in range(3)]
+        else:
+            prior = world
+        terms = []
+        for k, lang in enumerate(langs):
+            t = e.temper * s[k] + math.log(prior[k]) + math.log(1 - e.und_prior)
+            for said, trust in ((declared[:2].lower() if declared else None, e.declared_trust), (language_id.SUFFIX_LANGUAGE.get(suffix), e.suffix_trust)):
+                if said in langs:
+                    t += math.log(trust if said == lang else (1 - trust) / 2)
+            terms.append(t)
+        terms.append(e.temper * s[3] + math.log(e.und_prior))
+        top = max(terms)
+        assert got[i].lang_id == ((*langs, "und")[terms.index(top)] if n else "und"), i
+        assert math.isclose(got[i].lang_posterior, 1 / sum(math.exp(t - top) for t in terms), rel_tol=1e-4), i
+
+
+def test_markup(spark):
+    rows = [
+        (1, "https://u:p@News.Example.FR:80/x?q=http://z.de", "<html class='a' LANG=\"fr-FR\"><script>var x='<p>no</p>'</script><p>un&nbsp;deux</p><!-- <b>no</b> --></html>"),
+        (2, "no url", "<p>plain</p>"), (3, None, None), (4, "http://host/", "<html lang=de>x"),
+    ]
+    got = {x.page_id: x for x in language_id.markup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].text.split() == ["un", "deux"] and (got[1].declared, got[1].host, got[1].suffix) == ("fr", "news.example.fr", "fr")
+    assert got[2].text.split() == ["plain"] and (got[2].declared, got[2].host, got[2].suffix) == (None, None, None)
+    assert (got[3].text, got[3].host) == ("", None) and (got[4].declared, got[4].host, got[4].suffix) == ("de", "host", None)
+
+
 def test_likelihood_matches_plain_sums():
     table = np.random.default_rng(1).random((language_id.BINS, 3)).astype(np.float32)
     model = language_id.TextModel(("a", "b"), table)
@@ -497,6 +552,39 @@ def test_pipeline_stages_keep_their_columns(spark):
     assert last.count() == docs.count() and "ids_sha256" in last.columns
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Every stage once more in plain Python, on rows with nulls, empty texts, copies and leaks; language by the model itself."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    items = dict(enumerate(sentences(31, 3, 40)))
+    fill = [s for s in sentences(32, 60, 40) if len(s) > 60][:24]
+    texts = [*fill, fill[0], near_copy(fill[1], 5) + "\n" + fill[2], fill[3] + "\n" + fill[3], f"{fill[4]} {items[0]} {fill[5]}", items[1], "12 34", "", None, "\n\n" + fill[6]]
+    rows = [(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    known = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    now = {x.doc_id: x.text for x in known.collect()}
+    assert set(now) == {i for i, t in enumerate(texts) if t and re.search("[a-z]", t)}
+    order = sorted(now)
+    gone = plain_removed([now[i] for i in order])
+    now = {i: "\n".join(x for n, x in enumerate(now[i].split("\n")) if (k, n) not in gone) for k, i in enumerate(order)}
+    now = {i: t for i, t in now.items() if t.strip()}
+    order = sorted(now)
+    sets = [shingled(now[i], 5) for i in order]
+    links = [(a, b) for a, b in itertools.combinations(range(len(order)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    now = {order[k]: now[order[k]] for k, root in enumerate(roots(len(order), links)) if root == k}
+    now = {i: t for i, t in now.items() if i not in {d for d, _ in brute_leaks(now, items)}}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(got) == set(now) and len(now) > 15
+    for i, t in now.items():
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_near_duplicate_stage_keeps_rows_without_an_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     text = " ".join(f"word{k}" for k in range(40))

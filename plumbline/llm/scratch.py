@@ -19,6 +19,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if "root" not in _OWN:
         _OWN["root"] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         atexit.register(_drop_local, _OWN["root"].removeprefix("file://"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.operators import mutate
 from plumbline.sources.schemas import PRESET, SAMPLE
 
 # The five built-in samples (id, question, gold context, gold answer, expected entities).
@@ -117,66 +118,90 @@ def preset_responses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, c or gold[k][0], a or gold[k][1]) for k, (c, a) in PRESETS.items()], PRESET)
 
 
-def mutated(name: str, answer: str, entities: list[str]) -> str:
-    """An answer with one defect."""
-    if name == "数字篡改":
-        return re.sub(r"\d+", lambda m: str(int(m[0]) + 1), answer, count=1)
-    if name == "实体缺失":
-        return answer.replace(entities[0], "") if entities else answer
-    if name == "条件丢失":
-        marker = next((m for m in CONDITION_MARKERS if m in answer), None)
-        return answer.partition(marker)[0].rstrip("，；。 ") if marker else answer
-    return answer + FABRICATION
+#: Which slots each template draws, in the order in which they are drawn, and what from.
+DRAWN = (
+    {"level": LEVELS, "deductible": DEDUCTIBLES, "ratio": RATIOS, "limit": YEAR_LIMITS},
+    {"disease": DISEASES, "limit": DISEASE_LIMITS, "ratio": RATIOS},
+    {"deductible": DEDUCTIBLES, "ratio": RATIOS},
+)
+# How edge questions vary, by turns, and the slots of the edge policy without a deductible.
+ZERO = {"level": "一级及以下", "deductible": "0", "ratio": "70", "limit": "20"}
+ASKED_BEHIND, ASKED_BEFORE, SHORTER = "请明确说明零起付线。", "请依据所指政策回答：", (("城乡居民", "居保"), ("大病保险", "大病险"))
+#: The built-in sample that has a condition to lose, and its source.
+CONDITIONAL = ("med-ins-004", "seed_d")
+
+
+def slot_plan(seed: int, n: int) -> list[tuple[int, int, dict[str, str]]]:
+    """(ordinal, template, slots): all that is random, drawn once."""
+    choice = random.Random(seed).choice
+    return [(i, i % len(DRAWN), {slot: str(choice(values)) for slot, values in DRAWN[i % len(DRAWN)].items()}) for i in range(n)]
+
+
+def _filled(planned: DataFrame) -> DataFrame:
+    """(ordinal, slots, template) with the template's texts, slots filled in."""
+    kinds = "template int, q string, c string, a string, e array<string>"
+    templates = planned.sparkSession.createDataFrame([(k, q, c, a, list(e)) for k, (q, c, a, e) in enumerate(TEMPLATES)], kinds)
+    names = sorted({slot for drawn in DRAWN for slot in drawn})
+
+    def fill(text):
+        for name in names:
+            text = F.replace(text, F.lit(f"{{{name}}}"), F.coalesce(F.try_element_at(F.col("slots"), F.lit(name)), F.lit("")))
+        return text
+
+    both = planned.join(F.broadcast(templates), "template")
+    return both.select("ordinal", fill(F.col("q")).alias("question"), fill(F.col("c")).alias("ground_truth_context"), fill(F.col("a")).alias("ground_truth_answer"), F.transform("e", fill).alias("expected_entities"))
 
 
-def _rendered(template: tuple, **slots) -> dict:
-    q, c, a, e = template
-    return _row(question=q.format(**slots), ground_truth_context=c.format(**slots), ground_truth_answer=a.format(**slots), expected_entities=[x.format(**slots) for x in e])
+def _scoped(rows: DataFrame, source) -> DataFrame:
+    """Rows of a source: label before question and context, every expected entity required."""
+    label = F.concat(F.lit("【模拟政策 "), F.col("source_id"), F.lit("】"))
+    named = rows.withColumn("source_id", source)
+    return named.withColumns({"question": F.concat(label, "question"), "ground_truth_context": F.concat(label, "ground_truth_context"), "required_entities": F.col("expected_entities")})
 
 
-def _letters(n: int) -> str:
-    return str(n).translate(str.maketrans("0123456789", "abcdefghij"))
+def _lettered(prefix: str, n) -> Column:
+    return F.concat(F.lit(prefix), F.translate(n.cast("string"), "0123456789", "abcdefghij"))
 
 
-def _scoped(row: dict, source: str) -> dict:
-    label = f"【模拟政策 {source}】"
-    return row | {"source_id": source, "required_entities": list(row["expected_entities"]), "question": label + row["question"], "ground_truth_context": label + row["ground_truth_context"]}
+def _numbered(prefix: str, n) -> Column:
+    return F.concat(F.lit(prefix), F.lpad(n.cast("string"), 3, "0"))
 
 
-def generated_rows(seed: int = 42, synthetic: int = 55, edge: int = 25, adversarial: int = 15) -> list[dict]:
-    """The same seed gives the same rows: synthetic, edge and adversarial ones, and the five built-in."""
+def generated_samples(spark: SparkSession, seed: int = 42, synthetic: int = 55, edge: int = 25, adversarial: int = 15) -> DataFrame:
+    """The same seed gives the same rows, in order: synthetic, edge and adversarial ones, and the five built-in."""
     if min(synthetic, edge, adversarial) < 0 or (synthetic == 0 and edge + adversarial):
         raise ValueError("counts must not be negative, and edge and adversarial rows need a synthetic one")
-    draw = random.Random(seed).choice
-    rows: list[dict] = []
-    for i in range(synthetic):
-        kind = i % len(TEMPLATES)
-        if kind == 0:
-            slots = {"level": draw(LEVELS), "deductible": draw(DEDUCTIBLES), "ratio": draw(RATIOS), "limit": draw(YEAR_LIMITS)}
-        elif kind == 1:
-            slots = {"disease": draw(DISEASES), "limit": draw(DISEASE_LIMITS), "ratio": draw(RATIOS)}
-        else:
-            slots = {"deductible": draw(DEDUCTIBLES), "ratio": draw(RATIOS)}
-        rows.append(_scoped(_rendered(TEMPLATES[kind], **slots) | {"id": f"syn-{i:03d}", "category": "synthetic"}, "policy_" + _letters(i)))
-    for i in range(edge):
-        row = rows[i % synthetic]
-        if i % 3 == 0:
-            row = _scoped(_rendered(TEMPLATES[0], level="一级及以下", deductible=0, ratio=70, limit=20), "edge_" + _letters(i))
-            question = row["question"] + "请明确说明零起付线。"
-        elif i % 3 == 1:
-            question = "请依据所指政策回答：" + row["question"]
-        else:
-            question = row["question"].replace("城乡居民", "居保").replace("大病保险", "大病险")
-        rows.append(row | {"id": f"edge-{i:03d}", "question": question, "category": "edge"})
-    for i in range(adversarial):
-        name = MUTATIONS[i % len(MUTATIONS)]
-        row = _scoped(builtin_rows()[3], "seed_d") if name == "条件丢失" else rows[i % synthetic]
-        candidate = mutated(name, row["ground_truth_answer"], row["expected_entities"])
-        if candidate == row["ground_truth_answer"]:
-            raise ValueError(f"mutation {name} changed nothing")
-        rows.append(row | {"id": f"adv-{i:03d}-{name}", "category": "adversarial", "candidate_answer": candidate, "mutation_type": name})
-    return rows + [_scoped(r, f"seed_{x}") | {"category": "seed"} for x, r in zip("abcde", builtin_rows(), strict=True)]
-
-
-def generated_samples(spark: SparkSession, **counts) -> DataFrame:
-    return _frame(spark, generated_rows(**counts))
+    plan = "ordinal int, template int, slots map<string,string>"
+    turn = lambda n: spark.range(n).select(F.col("id").cast("int").alias("at"))
+    base = _scoped(_filled(spark.createDataFrame(slot_plan(seed, synthetic), plan)), _lettered("policy_", F.col("ordinal")))
+    made = base.withColumns({"group": F.lit(0), "at": F.col("ordinal"), "id": _numbered("syn-", F.col("ordinal")), "category": F.lit("synthetic")})
+    again = lambda n: turn(n).join(base, F.pmod(F.col("at"), F.lit(max(synthetic, 1))) == F.col("ordinal"))
+
+    kind = F.pmod(F.col("at"), F.lit(3))
+    shorter = F.col("question")
+    for long, short in SHORTER:
+        shorter = F.replace(shorter, F.lit(long), F.lit(short))
+    zero = _filled(spark.createDataFrame([(0, 0, ZERO)], plan)).drop("ordinal")
+    free = _scoped(turn(edge).where(kind == 0).crossJoin(F.broadcast(zero)), _lettered("edge_", F.col("at"))).withColumn("question", F.concat("question", F.lit(ASKED_BEHIND)))  # one row on that side
+    asked = again(edge).where(kind != 0).drop("ordinal").withColumn("question", F.when(kind == 1, F.concat(F.lit(ASKED_BEFORE), "question")).otherwise(shorter))
+    edges = free.unionByName(asked).withColumns({"group": F.lit(1), "id": _numbered("edge-", F.col("at")), "category": F.lit("edge")})
+
+    builtin = builtin_samples(spark)
+    letter = F.substring(F.lit("abcdefghij"), F.substring("id", -1, 1).cast("int"), F.lit(1))
+    seeds = _scoped(builtin, F.concat(F.lit("seed_"), letter)).withColumns({"group": F.lit(3), "at": F.substring("id", -1, 1).cast("int"), "category": F.lit("seed")})
+    texts = ["question", "ground_truth_context", "ground_truth_answer", "expected_entities", "source_id", "required_entities"]
+    name = F.element_at(F.array(*map(F.lit, MUTATIONS)), F.pmod(F.col("at"), F.lit(len(MUTATIONS))) + 1)
+    conditional = seeds.where(F.col("id") == CONDITIONAL[0]).withColumn("source_id", F.lit(CONDITIONAL[1])).select(*texts)
+    losing = turn(adversarial).withColumn("mutation_type", name).where(F.col("mutation_type") == MUTATIONS[2]).crossJoin(F.broadcast(conditional))  # one row on that side
+    others = again(adversarial).withColumn("mutation_type", name).where(F.col("mutation_type") != MUTATIONS[2]).select("at", "mutation_type", *texts)
+    answer, told = F.col("ground_truth_answer"), F.col("mutation_type")
+    candidate = (
+        F.when(told == MUTATIONS[0], mutate.number_raised(answer)).when(told == MUTATIONS[1], mutate.entity_dropped(answer, F.get("expected_entities", F.lit(0))))
+        .when(told == MUTATIONS[2], mutate.condition_dropped(answer, CONDITION_MARKERS)).otherwise(mutate.claim_added(answer, FABRICATION))
+    )
+    changed = F.when(candidate != answer, candidate).otherwise(F.raise_error(F.concat(F.lit("nothing is changed by "), told)))
+    wrong = losing.unionByName(others).withColumns({"group": F.lit(2), "id": F.concat(_numbered("adv-", F.col("at")), F.lit("-"), told), "category": F.lit("adversarial"), "candidate_answer": changed})
+
+    parts = made.unionByName(edges, allowMissingColumns=True).unionByName(wrong, allowMissingColumns=True).unionByName(seeds, allowMissingColumns=True)
+    kinds = dict(x.split(" ") for x in SAMPLE.split(", "))
+    return parts.orderBy("group", "at").select(*[F.col(f).cast(kinds[f]).alias(f) for f in _FIELDS])

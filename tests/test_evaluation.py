@@ -119,16 +119,17 @@ def test_baseline(spark):
     assert got.gate_passed and got.source_hit_rate == 1.0
 
 
-def test_generator_is_deterministic():
-    first, second = samples.generated_rows(), samples.generated_rows()
+def test_generator_is_deterministic(spark):
+    first, second = ([r.asDict() for r in samples.generated_samples(spark).collect()] for _ in range(2))
     assert first == second and len(first) == 100
     assert [sum(r["category"] == c for r in first) for c in ("synthetic", "edge", "adversarial", "seed")] == [55, 25, 15, 5]
     with pytest.raises(ValueError):
-        samples.generated_rows(synthetic=0)
+        samples.generated_samples(spark, synthetic=0)
+    assert [r.id for r in samples.generated_samples(spark, seed=1, synthetic=2, edge=3, adversarial=1).collect()] == ["syn-000", "syn-001", "edge-000", "edge-001", "edge-002", "adv-000-数字篡改", *[f"med-ins-00{i}" for i in range(1, 6)]]
 
 
 def test_audit_codes(spark):
-    a, b = (dict(r) for r in samples.generated_rows()[:2])
+    a, b = (r.asDict() for r in samples.generated_samples(spark).limit(2).collect())
     b |= {"question": a["question"], "source_id": a["source_id"], "ground_truth_answer": "999元"}
     codes = {r.code for r in audit.issues(samples._frame(spark, [a, b, b])).collect()}
     assert {"ambiguous_question", "conflicting_source", "invalid_gold", "duplicate_id"} <= codes

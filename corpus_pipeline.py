@@ -1,6 +1,12 @@
 """Corpus preparation: language ID, line dedup, near-dedup, benchmark decontamination, BPE encoding.
 
 Every stage takes all rows that the stage before it kept, as Parquet; all but the last return the columns of documents.
+
+Null and empty texts, and texts without letters, are in no known language and go first. Rows without an id stay through line
+dedup, near-dedup and decontamination as they are. Rows that repeat id and text leave one row behind after line dedup; rows
+that share an id only are told apart by their texts there, and stay or go together afterwards. Of lines and documents that
+are copies the one of the smallest id stays, so ties are settled. An empty table gives no rows. Extra columns, whatever
+their names, are kept up to the last stage, which returns the encoding's columns.
 """
 
 from __future__ import annotations

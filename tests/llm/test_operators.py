@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import attention_lm as lm
-from plumbline.llm import language_id, lm_scoring, suffix_sort, warc
+from plumbline.llm import language_id, line_dedup, lm_scoring, suffix_sort, warc
 from plumbline.llm.bpe_transducer import ByteBpe, Encoder, Lexicon, build_automaton, compile_lexicon, decode_documents, encode_documents, round_trip, write_lexicon
 from plumbline.llm.components import components
 from plumbline.llm.decontaminate import leaks, without_leaks
@@ -524,6 +524,22 @@ def test_line_dedup_loses_no_link_near_the_threshold(spark):
     assert got == plain_removed(pool) and len(got) > 20
 
 
+@pytest.mark.parametrize("block", [None, 5])
+def test_line_dedup_compares_all_members_of_large_bands(spark, monkeypatch, block):
+    """Lines made of common passages: nearly every band of two linked lines has many members, and most pivots link with neither."""
+    if block:
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(4, 9)))
+    passages, between = [" ".join(word() for _ in range(9)) for _ in range(11)], " and it was furthermore said there that "
+    chosen = r.sample(list(itertools.combinations(range(11), 4)), 260)
+    base = [between.join(passages[k] for k in c) for c in chosen]
+    pool = base + [line.replace(line.split(" ")[k % 9], f"q{k}", 1) for k, line in enumerate(base[::4])]
+    wanted = plain_removed(pool)
+    got = {(x.doc_id, k) for x in line_report(docs_of(spark, pool)).collect() for k in x.removed}
+    assert got == wanted and 60 < len(wanted) < len(pool) // 2
+
+
 def test_line_dedup_with_repeated_and_missing_ids(spark):
     texts = ["same line here", "same line here", "same line here\n\nand a second one", "same line here", "same line here", None, None]
     df = docs_of(spark, texts, [None, 3, 3, 3, 4, 5, 5])

@@ -14,6 +14,8 @@ the window that gives it the longer context. All windows of a batch go through t
 from __future__ import annotations
 
 import base64
+import ctypes
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ WINDOW, WIDTH, HIDDEN, CLASSES, PIECE_BYTES = 32, 16, 32, 128, 4
 _SHARED = 32  # of the classes
 STEPS, BATCH, RATE = 300, 192, 4e-3
 PASS_BATCH = 1024  # windows of a step of the pass over all texts
+_AT_ONCE = 32  # windows that go through the layers together
 
 
 class Pieces:
@@ -78,15 +81,30 @@ class Pieces:
         return out, counts
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, a place of each, and the number of each hash's own."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    of = np.empty(len(hashes), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], of
+
+
 def tokenized(texts: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, words of each text, ids with an end behind each text, ids of each text) of whole texts."""
     hashes, n_words = word_hashes(texts)
+    return hashes, n_words, *cut_words(texts, pieces, n_words, *distinct(hashes)[1:])
+
+
+def cut_words(texts: list[bytes], pieces: Pieces, n_words: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ``tokenized``, and their number in each text, from a place of each distinct word and each word's distinct one."""
     joined = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
     flags = np.ones(len(joined) + 1, dtype=np.int8)
     flags[1:] = SPACE[joined]
     step = np.diff(flags)
     starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
     ids, n_ids = pieces.cut(joined, starts[first], ends[first])
     begin = np.cumsum(n_ids) - n_ids
     n = n_ids[of]
@@ -94,8 +112,8 @@ def tokenized(texts: list[bytes], pieces: Pieces) -> tuple[np.ndarray, np.ndarra
     per_text = np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64) + 1
     out = np.full(int(per_text.sum()), pieces.end, dtype=np.int32)
     place = np.arange(int(n.sum())) + np.repeat(text_of, n)  # one end behind each text before
-    out[place] = ids[np.repeat(begin[of], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    return hashes, n_words, out, per_text
+    out[place] = ids[np.repeat(begin[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return out, per_text
 
 
 @dataclass
@@ -159,62 +177,116 @@ def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
 
 
-def forward(w: dict[str, np.ndarray], follow: np.ndarray, ids: np.ndarray, first: int, keep: bool = False):
-    """Unnormalised class weights behind places first.. of windows ``ids`` (windows, WINDOW), and their sums.
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept; a product is faster than a sum of short rows."""
+    return _times(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
 
-    ``follow`` (ids, CLASSES) is the share of each class behind an id in the training counts; attention scales it.
-    With ``keep`` also what the gradients need.
-    """
-    x = w["emb"][ids] + w["pos"]
+
+def _hidden(w: dict[str, np.ndarray], ids: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
+    """What the gradients need of the layers below the softmax at places first.. of windows ``ids``; the last is its input."""
+    x = w["emb"].take(ids, axis=0)
+    x += w["pos"]
     xq = np.ascontiguousarray(x[:, first:])
-    q, k, v = _times(xq, w["q"] * np.asarray(WIDTH**-0.5, dtype=w["q"].dtype)), _times(x, w["k"]), _times(x, w["v"])
+    q, kv = _times(xq, w["q"] * np.asarray(WIDTH**-0.5, dtype=w["q"].dtype)), _times(x, np.concatenate([w["k"], w["v"]], axis=1))
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
     s = np.matmul(q, k.transpose(0, 2, 1))
     np.minimum(s, 60, out=s)
     np.exp(s, out=s)
     s *= _CAUSAL[first:]
-    s_sum = s.sum(axis=2, keepdims=True)
+    s /= _row_sums(s)
     a = np.matmul(s, v)
-    a /= s_sum
-    h = xq + _times(a, w["o"])
-    z = np.maximum(_times(h, w["w1"]), 0)
-    y = h + _times(z, w["w2"])
-    p = _times(y, w["out"])
+    h = _times(a, w["o"])
+    h += xq
+    z = _times(h, w["w1"])
+    np.maximum(z, 0, out=z)
+    y = _times(z, w["w2"])
+    y += h
+    return x, q, k, v, s, a, h, z, y
+
+
+def forward(w: dict[str, np.ndarray], follow: np.ndarray, ids: np.ndarray, first: int, keep: bool = False):
+    """Unnormalised class weights behind places first.. of windows ``ids`` (windows, WINDOW), and their sums.
+
+    ``follow`` (ids, CLASSES) is the share of each class behind an id in the training counts; attention scales it.
+    With ``keep`` also what the gradients need.
+    """
+    kept = _hidden(w, ids, first)
+    p = _times(kept[-1], w["out"])
     np.exp(p, out=p)
-    p *= follow[ids[:, first:]]
-    total = p.sum(axis=2)
-    return (p, total, (x, q, k, v, s / s_sum, a, h, z, y)) if keep else (p, total)
+    p *= follow.take(ids[:, first:], axis=0)
+    total = _row_sums(p)[..., 0]
+    return (p, total, kept) if keep else (p, total)
+
+
+def log_shares(w: dict[str, np.ndarray], follow: np.ndarray, ids: np.ndarray, first: int, target: np.ndarray) -> np.ndarray:
+    """Log probability of the class ``target`` behind each of the places first.. of windows ``ids``."""
+    p = _times(_hidden(w, ids, first)[-1], w["out"]).reshape(-1, CLASSES)
+    np.exp(p, out=p)
+    share = follow.take(ids[:, first:].ravel(), axis=0)
+    at = np.arange(target.size) * CLASSES + target.ravel()
+    return np.log(p.ravel()[at] * share.ravel()[at] / np.vecdot(p, share)).reshape(target.shape)
 
 
 def gradients(w: dict[str, np.ndarray], follow: np.ndarray, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss (mean over weights) and gradients for windows and their targets' classes."""
-    p, sums, (x, q, k, v, s, a, h, z, y) = forward(w, follow, ids, 0, keep=True)
-    p /= sums[..., None]
+    """Loss (mean over weights) and gradients for windows and their targets' classes.
+
+    The windows are taken a few at a time, so that what lies between the layers stays in the processor's cache.
+    """
     total = max(float(weight.sum()), 1.0)
-    got = np.take_along_axis(p, target[..., None], axis=2)[..., 0]
-    loss = float(-(np.log(np.maximum(got, 1e-30)) * weight).sum() / total)
-    d = p
-    np.put_along_axis(d, target[..., None], np.take_along_axis(d, target[..., None], 2) - 1, axis=2)
-    d *= (weight / total)[..., None].astype(d.dtype)
+    loss, g, dx = 0.0, {}, np.empty((*ids.shape, WIDTH), dtype=w["emb"].dtype)
+    for s in range(0, len(ids), _AT_ONCE):
+        own = slice(s, s + _AT_ONCE)
+        part, more, dx[own] = _part_gradients(w, follow, ids[own], target[own], weight[own] / total)
+        loss += part
+        for name, t in more.items():
+            if name in g:
+                g[name] += t
+            else:
+                g[name] = t
+    g["emb"] = np.zeros_like(w["emb"])
+    order = np.argsort(ids.ravel().astype(np.uint16 if len(w["emb"]) <= 1 << 16 else np.uint32), kind="stable")
+    sorted_ids = ids.ravel()[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    g["emb"][sorted_ids[head]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), head, axis=0)
+    return loss, g
+
+
+def _part_gradients(w: dict[str, np.ndarray], follow: np.ndarray, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Loss and gradients of some windows, weighted; last that of the windows' embeddings, place by place."""
+    p, sums, (x, q, k, v, s, a, h, z, y) = forward(w, follow, ids, 0, keep=True)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(y).T @ flat(d)}
-    dy = _times(d, w["out"].T)
+    at = np.arange(target.size) * CLASSES + target.ravel()
+    got = p.ravel()[at] / sums.ravel()
+    loss = float(-(np.log(np.maximum(got, 1e-30)) * weight.ravel()).sum(dtype=np.float64))
+    p.ravel()[at] -= sums.ravel()  # the gradient of the logits is scale * p
+    scale = (weight.astype(p.dtype) / sums)[..., None]
+    g = {"out": flat(y * scale).T @ flat(p)}
+    dy = _times(p, w["out"].T)
+    dy *= scale
     g["w2"] = flat(z).T @ flat(dy)
-    dz = _times(dy, w["w2"].T) * (z > 0)
+    dz = _times(dy, w["w2"].T)
+    dz *= z > 0
     g["w1"] = flat(h).T @ flat(dz)
-    dh = dy + _times(dz, w["w1"].T)
+    dh = _times(dz, w["w1"].T)
+    dh += dy
     g["o"] = flat(a).T @ flat(dh)
     da = _times(dh, w["o"].T)
-    dv = np.matmul(s.transpose(0, 2, 1), da)
+    dqkv = np.empty((*ids.shape, 3 * WIDTH), dtype=p.dtype)
+    dq, dk, dv = (dqkv[..., i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    np.matmul(s.transpose(0, 2, 1), da, out=dv)
     ds = np.matmul(da, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
-    dq, dk = np.matmul(ds, k) * np.asarray(WIDTH**-0.5, dtype=ds.dtype), np.matmul(ds.transpose(0, 2, 1), q)
-    for name, t in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(x).T @ flat(t)
-    dx = dh + _times(dq, w["q"].T) + _times(dk, w["k"].T) + _times(dv, w["v"].T)
+    ds -= _row_sums(da * a)
+    ds *= s
+    np.matmul(ds, k, out=dq)
+    dq *= np.asarray(WIDTH**-0.5, dtype=p.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dk)
+    by_weight = flat(x).T @ flat(dqkv)
+    for i, name in enumerate("qkv"):
+        g[name] = by_weight[:, i * WIDTH : (i + 1) * WIDTH]
+    dx = _times(dqkv, np.concatenate([w["q"], w["k"], w["v"]], axis=1).T)
+    dx += dh
     g["pos"] = dx.sum(axis=0)
-    g["emb"] = np.zeros_like(w["emb"])
-    np.add.at(g["emb"], ids.ravel(), flat(dx))
-    return loss, g
+    return loss, g, dx
 
 
 def windows(n_ids: np.ndarray, overlap: int = WINDOW // 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,6 +307,34 @@ def shifted(ids: np.ndarray, n_ids: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+@contextmanager
+def one_thread():
+    """NumPy's OpenBLAS works in the calling thread alone meanwhile; another library keeps its own number of threads.
+
+    Spark allows a worker as many threads as its executor has cores. On matrices as small as these the others mostly
+    wait, at full load, for the next one.
+    """
+    before = []
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split(maxsplit=5)[-1].strip() for line in f if "openblas" in line}
+        for path in sorted(paths):
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_%s_num_threads64_", "scipy_openblas_%s_num_threads", "openblas_%s_num_threads64_", "openblas_%s_num_threads"):
+                if hasattr(lib, name % "set"):
+                    put = getattr(lib, name % "set")
+                    before.append((put, getattr(lib, name % "get")()))
+                    put(1)
+                    break
+    except OSError:  # no such table of the process, or a library that cannot be opened by its path
+        pass
+    try:
+        yield
+    finally:
+        for put, n in before:
+            put(n)
+
+
 class Adam:
     """Steps of Adam on the weights ``w``, in place."""
 
@@ -270,6 +370,7 @@ def train(ids: np.ndarray, n_ids: np.ndarray, classes: Classes, follow: np.ndarr
     return w
 
 
+@one_thread()
 def train_on_all(adam: Adam, ids: np.ndarray, n_ids: np.ndarray, classes: Classes, follow: np.ndarray, r: np.random.Generator) -> int:
     """Takes every window of the texts once, in a random order; returns how many there were."""
     if not len(ids):
@@ -290,9 +391,7 @@ def train_on_all(adam: Adam, ids: np.ndarray, n_ids: np.ndarray, classes: Classe
     return len(order)
 
 
-_AT_ONCE = 32
-
-
+@one_thread()
 def score(w: dict[str, np.ndarray], classes: Classes, follow: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> np.ndarray:
     """Log probability of each text (natural), every id scored once."""
     out = np.zeros(len(n_ids))
@@ -301,14 +400,16 @@ def score(w: dict[str, np.ndarray], classes: Classes, follow: np.ndarray, ids: n
     inputs, base = shifted(ids, n_ids, len(classes.of) - 1), np.cumsum(n_ids) - n_ids
     share = np.bincount(np.repeat(np.arange(len(n_ids)), n_ids), weights=classes.log_share[ids], minlength=len(n_ids))
     text, start, head = windows(n_ids)
+    got = np.zeros(len(text))
     for first, chosen in ((0, np.flatnonzero(head)), (WINDOW // 2, np.flatnonzero(~head))):
-        for s in range(0, len(chosen), _AT_ONCE):
-            own = chosen[s : s + _AT_ONCE]
+        at_once = _AT_ONCE * WINDOW // (WINDOW - first)
+        for s in range(0, len(chosen), at_once):
+            own = chosen[s : s + at_once]
             at = start[own][:, None] + np.arange(WINDOW)
-            length, offset = n_ids[text[own]][:, None], base[text[own]][:, None]
-            p, total = forward(w, follow, inputs[np.minimum(at, length - 1) + offset], first)
+            length = n_ids[text[own]][:, None]
             scored = at[:, first:] < length
-            target = classes.of[ids[np.minimum(at[:, first:], length - 1) + offset]]
-            got = np.log(np.take_along_axis(p, target[..., None], axis=2)[..., 0]) - np.log(total)
-            out += np.bincount(text[own], weights=(got * scored).sum(axis=1), minlength=len(n_ids))
-    return out + share
+            np.minimum(at, length - 1, out=at)
+            at += base[text[own]][:, None]
+            value = log_shares(w, follow, inputs[at], first, classes.of[ids[at[:, first:]]])
+            got[own] = (value * scored).sum(axis=1, dtype=np.float64)
+    return np.bincount(text, weights=got, minlength=len(n_ids)) + share

@@ -9,7 +9,8 @@ of a bounded sample, ``SAMPLE_TEXTS``) send one count a batch instead, as they w
 come to the driver (bounded by the list) and their share of the score is added in scan 5. The list decides how counts
 travel, never what they are.
 
-Scan 2 counts the ids, which settles their classes, and scan 3 what follows which id, both of all training texts, whole.
+Scan 2 cuts all texts, whole, into ids and writes these to a table, which the later scans read instead of the texts; the
+counts of the training texts' ids settle the classes. Scan 3 counts what follows which id in all training texts.
 The attention weights start from a fit on the sample. Then, in scan 4, every task takes each window of its training
 texts once, and the tasks' weights are averaged by their windows. Scan 5 scores every text, all ids.
 
@@ -61,6 +62,14 @@ def _texts(batch: pa.RecordBatch, keys_at: int):
             yield slice(s, e), key[s:e], held[s:e], texts[s:e]
 
 
+def _among(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each hash among the sorted ``words``, and whether it is there."""
+    if not len(words):
+        return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+    slot = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return slot, words[slot] == hashes
+
+
 def counted(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, words, meta, keys, common, sums): packed triples of rare words, and the frequent words' sums."""
     spark = rows.sparkSession
@@ -70,13 +79,10 @@ def counted(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         for batch in batches:
             for _, key, held, texts in _texts(batch, 0):
                 hashes, n_words = word_hashes(texts)
-                text = np.repeat(np.arange(len(texts)), n_words)
-                pair = np.lexsort((text, hashes))
-                h, t = hashes[pair], text[pair]
-                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])) if len(h) else np.zeros(0, dtype=np.int64)
-                times = np.diff([*head, len(h)]) if len(h) else head
-                h, t = h[head], t[head]
-                common = np.isin(h, shared.value, kind="sort")
+                words_here, _, of = lm.distinct(hashes)
+                pair, times = np.unique(of << _TEXT_BITS | np.repeat(np.arange(len(texts)), n_words), return_counts=True)
+                of, t = pair >> _TEXT_BITS, pair & ((1 << _TEXT_BITS) - 1)
+                h, common = words_here[of], _among(words_here, shared.value)[1][of]
                 train = ~held[t]
                 # frequent words: one count for the slice's training texts
                 words, of = np.unique(h[common & train], return_inverse=True)
@@ -154,40 +160,72 @@ def unigram_parts(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "key long, part double, known long, total binary, common binary, counts binary")
 
 
-def id_counts(rows: DataFrame, vocabulary: str) -> np.ndarray:
-    """How often each id occurs in all training texts; the driver gets one number an id."""
-    size = pieces_of(vocabulary).size
+def narrow(size: int) -> type:
+    """The type in which tables hold numbers below ``size``."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
-    def count(batches):
-        own, single = pieces_of(vocabulary), np.zeros(size, dtype=np.int64)
+
+def _packed(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary cell for each text's ``n`` values."""
+    ends = np.concatenate([[0], np.cumsum(n * values.itemsize)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def cut_texts(rows: DataFrame, vocabulary: str, frequent: np.ndarray) -> DataFrame:
+    """(doc_id, key, held_out, n_words, ids, slots, counts) of every text, cut into ids once for all later scans.
+
+    ``ids`` and ``slots`` are packed: the text's ids, its end included, and the places of its frequent words in their
+    list. A task's last row has no key, but the counts of the ids of its training texts.
+    """
+    spark, size = rows.sparkSession, pieces_of(vocabulary).size
+    shared = spark.sparkContext.broadcast(frequent)
+    names = ["doc_id", "key", "held_out", "n_words", "ids", "slots", "counts"]
+
+    def run(batches):
+        own, words, single = pieces_of(vocabulary), shared.value, np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for _, _, held, texts in _texts(batch, 0):
-                single += np.bincount(lm.tokenized([t for t, h in zip(texts, held, strict=True) if not h], own)[2], minlength=size)
-        used = np.flatnonzero(single)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(single[used])], names=["id", "n"])
+            for at, key, held, texts in _texts(batch, 1):
+                hashes, n_words = word_hashes(texts)
+                words_here, first, of = lm.distinct(hashes)
+                ids, n_ids = lm.cut_words(texts, own, n_words, first, of)
+                single += np.bincount(ids[np.repeat(~held, n_ids)], minlength=size)
+                slot, hit = (x[of] for x in _among(words_here, words))
+                n_slots = np.bincount(np.repeat(np.arange(len(texts)), n_words)[hit], minlength=len(texts))
+                ident = batch.column(0).slice(at.start, at.stop - at.start)
+                columns = (pa.array(key), pa.array(held), pa.array(n_words.astype(np.int64)), _packed(ids.astype(narrow(size)), n_ids), _packed(slot[hit].astype(narrow(len(words))), n_slots))
+                yield pa.RecordBatch.from_arrays([ident, *columns, pa.nulls(len(texts), pa.list_(pa.int64()))], names=names)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([single], pa.list_(pa.int64()))], names=names)
+
+    return rows.select("doc_id", "key", "held_out", "text").mapInArrow(lean(run), "doc_id long, key long, held_out boolean, n_words long, ids binary, slots binary, counts array<long>")
+
 
-    out = np.zeros(size, dtype=np.int64)
-    for r in rows.select("key", "held_out", "text").mapInArrow(lean(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[r.id] = r.n
-    return out
+def _ids(batch: pa.RecordBatch, kind: type):
+    """Slices of a batch: (slice, ids of its texts one after another, ids of each text); its column ``ids``."""
+    cells = as_bytes(batch.column("ids"))
+    for a, b in groups_by_bytes(cells, SLICE):
+        yield slice(a, b), np.frombuffer(b"".join(cells[a:b]), dtype=kind).astype(np.int32), np.array([len(x) for x in cells[a:b]], dtype=np.int64) // np.dtype(kind).itemsize
 
 
-def learned(rows: DataFrame, vocabulary: str, start: dict[str, np.ndarray], classes: lm.Classes, follow: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
+def training(cut: DataFrame) -> DataFrame:
+    """The ids of the training texts of ``cut_texts``."""
+    return cut.where("key is not null and not held_out").select("ids")
+
+
+def learned(cut: DataFrame, seed: int, start: dict[str, np.ndarray], classes: lm.Classes, follow: np.ndarray) -> tuple[dict[str, np.ndarray], int]:
     """Weights after a pass over all training texts, and the number of windows it took.
 
     Each task goes on from ``start`` over every window of its texts. It hands over its weights once, in blocks; their
     sums by windows have a fixed size, however large the corpus is.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((start, classes, follow))
-    names, block = sorted(start), 1 << 16
+    shared = cut.sparkSession.sparkContext.broadcast((start, classes, follow))
+    names, block, kind = sorted(start), 1 << 16, narrow(len(classes.of))
 
     def run(batches):
-        own = pieces_of(vocabulary)
         first, of, behind = shared.value
-        adam, r, n = lm.Adam({k: x.copy() for k, x in first.items()}), np.random.default_rng(13), 0
+        adam, r, n = lm.Adam({k: x.copy() for k, x in first.items()}), np.random.default_rng(seed), 0
         for batch in batches:
-            for _, _, held, texts in _texts(batch, 0):
-                _, _, ids, n_ids = lm.tokenized([t for t, h in zip(texts, held, strict=True) if not h], own)
+            for _, ids, n_ids in _ids(batch, kind):
                 n += lm.train_on_all(adam, ids, n_ids, of, behind, r)
         if n:
             flat = np.concatenate([adam.w[k].ravel() for k in names]).astype(np.float32)
@@ -201,7 +239,7 @@ def learned(rows: DataFrame, vocabulary: str, start: dict[str, np.ndarray], clas
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
     form = "block int, n long, weights binary"
-    got = sorted(rows.select("key", "held_out", "text").mapInArrow(lean(run), form).groupBy("block").applyInArrow(add, form).collect())
+    got = sorted(training(cut).mapInArrow(lean(run), form).groupBy("block").applyInArrow(add, form).collect())
     if not got:
         return start, 0
     flat = np.concatenate([np.frombuffer(r.weights, dtype=np.float32) for r in got])
@@ -209,71 +247,64 @@ def learned(rows: DataFrame, vocabulary: str, start: dict[str, np.ndarray], clas
     return {k: x.reshape(start[k].shape).astype(start[k].dtype) for k, x in zip(names, np.split(flat, ends[:-1]), strict=True)}, got[0].n
 
 
-def corpus_classes(rows: DataFrame, vocabulary: str) -> tuple[lm.Classes, np.ndarray]:
-    """Classes and what follows which id, with the counts of all training texts.
+def corpus_classes(cut: DataFrame, size: int) -> tuple[lm.Classes, np.ndarray]:
+    """Classes of ``size`` ids and what follows which id, with the counts of all training texts.
 
     Which ids share a class is settled on the counts of all; shares and pairs are counted over the corpus. A task hands
     over its sums once, in blocks; sums of sums have a fixed size (ids x classes) however large the corpus is.
     """
-    size = pieces_of(vocabulary).size
-    grouping = lm.Classes.fit(id_counts(rows, vocabulary))
-    shared = rows.sparkSession.sparkContext.broadcast(grouping)
-    block = 256
+    single = np.zeros(size, dtype=np.int64)
+    for r in cut.where("counts is not null").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        single[r.id] = r.n
+    grouping = lm.Classes.fit(single)
+    shared = cut.sparkSession.sparkContext.broadcast(grouping)
+    block, kind = 256, narrow(size)
 
     def count(batches):
-        own = pieces_of(vocabulary)
-        single, pairs = np.zeros(size, dtype=np.int64), np.zeros((size, lm.CLASSES), dtype=np.int32)
+        pairs = np.zeros((size, lm.CLASSES), dtype=np.int32)
         for batch in batches:
-            for _, _, held, texts in _texts(batch, 0):
-                _, _, ids, n_ids = lm.tokenized([t for t, h in zip(texts, held, strict=True) if not h], own)
-                single += np.bincount(ids, minlength=size)
-                pairs += lm.pair_counts(shared.value, lm.shifted(ids, n_ids, own.end), ids).astype(np.int32)
-        out = [(b, zlib.compress(single[b * block : (b + 1) * block].tobytes(), 1), zlib.compress(pairs[b * block : (b + 1) * block].tobytes(), 1)) for b in range(-(-size // block))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "single", "pairs"])
+            for _, ids, n_ids in _ids(batch, kind):
+                pairs += lm.pair_counts(shared.value, lm.shifted(ids, n_ids, size - 1), ids).astype(np.int32)
+        out = [(b, zlib.compress(pairs[b * block : (b + 1) * block].tobytes(), 1)) for b in range(-(-size // block))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["block", "pairs"])
 
     def add(key, table):
-        single, pairs = 0, 0
-        for x, y in zip(table.column("single").to_pylist(), table.column("pairs").to_pylist(), strict=True):
-            single = single + np.frombuffer(zlib.decompress(x), dtype=np.int64)
+        pairs = 0
+        for y in table.column("pairs").to_pylist():
             pairs = pairs + np.frombuffer(zlib.decompress(y), dtype=np.int32).astype(np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "single": pa.array([zlib.compress(single.tobytes(), 1)], pa.binary()), "pairs": pa.array([zlib.compress(pairs.astype(np.float32).tobytes(), 1)], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "pairs": pa.array([zlib.compress(pairs.astype(np.float32).tobytes(), 1)], pa.binary())})
 
-    form = "block int, single binary, pairs binary"
-    single, pairs = np.zeros(size, dtype=np.int64), np.zeros((size, lm.CLASSES), dtype=np.float32)
-    for r in rows.select("key", "held_out", "text").mapInArrow(lean(count), form).groupBy("block").applyInArrow(add, form).collect():
+    form = "block int, pairs binary"
+    pairs = np.zeros((size, lm.CLASSES), dtype=np.float32)
+    for r in training(cut).mapInArrow(lean(count), form).groupBy("block").applyInArrow(add, form).collect():
         part = slice(r.block * block, (r.block + 1) * block)
-        single[part] = np.frombuffer(zlib.decompress(r.single), dtype=np.int64)
         pairs[part] = np.frombuffer(zlib.decompress(r.pairs), dtype=np.float32).reshape(-1, lm.CLASSES)
     shares = single + 1.0
     classes = lm.Classes(grouping.of, np.log(shares / np.bincount(grouping.of, weights=shares, minlength=lm.CLASSES)[grouping.of]))
     return classes, lm.follow_table(classes, single, pairs)
 
 
-def scored(rows: DataFrame, vocabulary: str, model: tuple, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+def scored(cut: DataFrame, model: tuple, counts: np.ndarray) -> DataFrame:
     """(doc_id, key, held_out, n_tokens, known, part, score) of every text: the model's score, and the frequent words' part."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model, frequent, np.log10(counts + 1.0), counts > 0))
+    shared = cut.sparkSession.sparkContext.broadcast((model, np.log10(counts + 1.0), counts > 0))
+    kind, slot_kind = narrow(len(model[1].of)), narrow(len(counts))
 
     def run(batches):
-        own = pieces_of(vocabulary)
         for batch in batches:
-            (weights, classes, follow), words, gain, seen = shared.value
-            for at, key, held, texts in _texts(batch, 1):
-                hashes, n_words, ids, n_ids = lm.tokenized(texts, own)
+            (weights, classes, follow), gain, seen = shared.value
+            cells = as_bytes(batch.column("slots"))
+            for at, ids, n_ids in _ids(batch, kind):
                 value = lm.score(weights, classes, follow, ids, n_ids) / np.log(10)
-                text = np.repeat(np.arange(len(texts)), n_words)
-                if len(words):
-                    slot = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-                    hit = words[slot] == hashes
-                    slot, text = slot[hit], text[hit]
-                    part = np.bincount(text, weights=gain[slot], minlength=len(texts))
-                    known = np.bincount(text, weights=seen[slot], minlength=len(texts)).astype(np.int64)
-                else:
-                    part, known = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                ident = batch.column(0).slice(at.start, at.stop - at.start)
-                yield pa.RecordBatch.from_arrays([ident, *map(pa.array, (key, held, n_words.astype(np.int64) + 1, known, part, value))], names=["doc_id", "key", "held_out", "n_tokens", "known", "part", "score"])
+                own = cells[at]
+                slot = np.frombuffer(b"".join(own), dtype=slot_kind)
+                text = np.repeat(np.arange(len(own)), [len(x) // slot.itemsize for x in own])
+                part = np.bincount(text, weights=gain[slot], minlength=len(own)).astype(np.float64)  # whole numbers if there are none
+                known = np.bincount(text, weights=seen[slot], minlength=len(own)).astype(np.int64)
+                ident, key, held, n_words = (batch.column(c).slice(at.start, at.stop - at.start) for c in ("doc_id", "key", "held_out", "n_words"))
+                n_tokens = n_words.to_numpy(zero_copy_only=False) + 1
+                yield pa.RecordBatch.from_arrays([ident, key, held, *map(pa.array, (n_tokens, known, part, value))], names=["doc_id", "key", "held_out", "n_tokens", "known", "part", "score"])
 
-    return rows.select("doc_id", "key", "held_out", "text").mapInArrow(lean(run), "doc_id long, key long, held_out boolean, n_tokens long, known long, part double, score double")
+    return cut.where("key is not null").drop("counts").mapInArrow(lean(run), "doc_id long, key long, held_out boolean, n_tokens long, known long, part double, score double")
 
 
 def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, steps: int = lm.STEPS, scratch: Scratch | None = None) -> DataFrame:
@@ -298,9 +329,10 @@ def score_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     for r in stats:
         counts[np.searchsorted(frequent, np.frombuffer(r.common, dtype=np.uint64))] = np.frombuffer(r.counts, dtype=np.int64)
 
-    classes, follow = corpus_classes(rows, vocabulary)
-    weights, _ = learned(rows, vocabulary, lm.train(ids, n_ids, classes, follow, own.size, steps), classes, follow)
-    found = scored(rows, vocabulary, (weights, classes, follow), frequent, counts)
+    cut = scratch.table(cut_texts(rows, vocabulary, frequent), "cut")
+    classes, follow = corpus_classes(cut, own.size)
+    weights, _ = learned(cut, 13, lm.train(ids, n_ids, classes, follow, own.size, steps), classes, follow)
+    found = scored(cut, (weights, classes, follow), counts)
     rare = parts.where("key is not null").groupBy("key").agg(F.sum("part").alias("rare_part"), F.sum("known").alias("rare_known"))
     copies = found.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("known").alias("known"), F.first("part").alias("part"), F.first("score").alias("score"), F.count("*").alias("copies"))
     smoothed = float(np.log10(train_tokens + distinct + 1.0))

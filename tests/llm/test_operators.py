@@ -623,3 +623,96 @@ def test_lm_learns_from_every_window(spark, monkeypatch):
     ((start, (weights, n)),) = taken
     assert n == sum(-(-int(k) // lm.WINDOW) for k in n_ids)
     assert (np.abs(weights["emb"] - start["emb"]).max(axis=1) > 0)[np.unique(lm.shifted(ids, n_ids, pieces.end))].all()
+
+
+def lm_parts(seed: int, n: int, words: int = 40):
+    """(classes, follow, ids, ids of each text) of some texts."""
+    pieces = lm.Pieces(VOCABULARY)
+    _, _, ids, n_ids = lm.tokenized([s.encode() for s in sentences(seed, n, words)], pieces)
+    counts = np.bincount(ids, minlength=pieces.size)
+    classes = lm.Classes.fit(counts)
+    return classes, lm.follow_table(classes, counts, lm.pair_counts(classes, lm.shifted(ids, n_ids, pieces.end), ids)), ids, n_ids
+
+
+def test_lm_gradients_against_differences():
+    """Of more windows than go through the layers together, some of them weighted with 0."""
+    classes, follow, _, _ = lm_parts(41, 5)
+    r, windows = np.random.default_rng(3), 2 * lm._AT_ONCE + 3
+    ids, target = r.integers(0, 300, (windows, lm.WINDOW)), r.integers(0, lm.CLASSES, (windows, lm.WINDOW))
+    weight = (r.random((windows, lm.WINDOW)) < 0.7).astype(np.float64)
+    w, follow = {k: x.astype(np.float64) for k, x in lm.first_weights(len(classes.of)).items()}, follow.astype(np.float64)
+
+    def loss():
+        p, total = lm.forward(w, follow, ids, 0)
+        return -(np.log(np.take_along_axis(p, target[..., None], 2)[..., 0] / total) * weight).sum() / weight.sum()
+
+    got, g = lm.gradients(w, follow, ids, target, weight)
+    assert got == pytest.approx(loss())
+    for name, x in w.items():
+        for _ in range(4):
+            at = (int(r.choice(ids.ravel())) if name == "emb" else int(r.integers(0, x.shape[0])), int(r.integers(0, x.shape[1])))
+            before, ends = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = before + step
+                ends.append(loss())
+            x[at] = before
+            assert g[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-9)
+
+
+def test_lm_step_keeps_little_in_memory():
+    """A step's windows go through the layers a few at a time: all at once they took 65 MB."""
+    import tracemalloc
+
+    classes, follow, _, _ = lm_parts(42, 5)
+    r = np.random.default_rng(4)
+    ids, target = r.integers(0, 300, (lm.PASS_BATCH, lm.WINDOW)), r.integers(0, lm.CLASSES, (lm.PASS_BATCH, lm.WINDOW))
+    w, weight = lm.first_weights(len(classes.of)), np.ones((lm.PASS_BATCH, lm.WINDOW), dtype=np.float32)
+    tracemalloc.start()
+    try:
+        lm.gradients(w, follow, ids, target, weight)
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+
+
+LM_ALONE = """
+import sys, time
+sys.path[:0] = sys.argv[1:]
+import numpy as np
+from plumbline.llm import attention_lm as lm
+r, size = np.random.default_rng(1), 2001
+ids, n_ids = r.integers(0, size, 200_000).astype(np.int32), np.full(400, 500)
+counts = np.bincount(ids, minlength=size)
+classes = lm.Classes.fit(counts)
+follow, w = lm.follow_table(classes, counts, lm.pair_counts(classes, lm.shifted(ids, n_ids, size - 1), ids)), lm.first_weights(size)
+for work in (lambda: lm.train_on_all(lm.Adam(w), ids, n_ids, classes, follow, r), lambda: lm.score(w, classes, follow, ids, n_ids)):
+    a, b = time.process_time(), time.thread_time()
+    work()
+    print((time.process_time() - a) / (time.thread_time() - b))
+"""
+
+
+def test_lm_works_in_its_own_thread():
+    """Spark allows a worker as many threads as its executor has cores; on small matrices they mostly wait, at full load."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = subprocess.run([sys.executable, "-c", LM_ALONE, str(Path(lm.__file__).parents[2])], env=os.environ | {"OMP_NUM_THREADS": "4"}, capture_output=True, text=True, check=True, timeout=120)
+    assert all(float(x) < 1.2 for x in run.stdout.split()), run.stdout
+
+
+def test_lm_reads_texts_few_times(spark):
+    """Texts are counted and cut once each; before that they are read for their number, the sample's keys and the sample."""
+    texts = [*sentences(43, 20, 30), "", None]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    docs = docs_of(spark, texts)
+    got = score_documents(docs.mapInArrow(count, docs.schema), VOCABULARY, steps=1).collect()
+    assert len(got) == len(texts) and seen.value <= 5 * len(texts)

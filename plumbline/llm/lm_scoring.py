@@ -35,6 +35,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 1500, 8_000
 BUCKETS, BUCKET_BYTES = 32, 32e6
 #: Bytes of text that share one sort of their words.
 SLICE = 4 << 20
+#: Bytes of packed ids that are learned or scored together.
+IDS = 2 << 20
 _TEXT_BITS, _TIMES = 14, (1 << 17) - 1
 _pieces: dict[str, lm.Pieces] = {}
 
@@ -203,7 +205,7 @@ def cut_texts(rows: DataFrame, vocabulary: str, frequent: np.ndarray) -> DataFra
 def _ids(batch: pa.RecordBatch, kind: type):
     """Slices of a batch: (slice, ids of its texts one after another, ids of each text); its column ``ids``."""
     cells = as_bytes(batch.column("ids"))
-    for a, b in groups_by_bytes(cells, SLICE):
+    for a, b in groups_by_bytes(cells, IDS):
         yield slice(a, b), np.frombuffer(b"".join(cells[a:b]), dtype=kind).astype(np.int32), np.array([len(x) for x in cells[a:b]], dtype=np.int64) // np.dtype(kind).itemsize
 
 
